@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _name in ("mixing",):
+for _name in ("mixing", "simhash", "packing", "quality"):
     _module = importlib.import_module(f"lanternfish.llm.{_name}")
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
