@@ -153,16 +153,19 @@ class Scorer:
         return total
 
 
-def train(v: Vocabulary, w: dict[str, np.ndarray], windows: np.ndarray, *, rate: float, batch: int = 256, seed: int = 0) -> dict[str, np.ndarray]:
-    """One pass of Adam over windows (n, WINDOW + 1) of ids, -1 before a text's start, -2 after its end."""
+def train(v: Vocabulary, w: dict[str, np.ndarray], windows: np.ndarray, *, rate: float, batch: int = 128, least_steps: int = 200, seed: int = 0) -> dict[str, np.ndarray]:
+    """Adam over windows (n, WINDOW + 1) of ids, -1 before a text's start, -2 after its end.
+
+    One pass over all windows, or as many as make `least_steps`.
+    """
     w = {k: x.copy() for k, x in w.items()}
     m, s = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    order = np.random.default_rng(seed).permutation(len(windows))
-    steps = max(1, -(-len(windows) // batch))
+    rng = np.random.default_rng(seed)
+    passes = max(1, -(-least_steps * batch // max(1, len(windows))))
+    order = np.concatenate([rng.permutation(len(windows)) for _ in range(passes)])
+    steps = -(-len(order) // batch)
     for i in range(steps):
         part = windows[order[i * batch : (i + 1) * batch]]
-        if not len(part):
-            break
         grad = gradient(v, w, part)
         lr = rate * min(1.0, (i + 1) / 20) * (1 - 0.9 * i / steps)
         for k, g in grad.items():
