@@ -34,7 +34,7 @@ from xxhash import xxh64_intdigest
 from .common import Scratch, shards_for, small_batches
 
 WINDOW = 13
-BUNDLE_MB = 12
+BUNDLE_MB = 8
 #: Words in the phrases of one automaton.
 AUTOMATON_WORDS = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -80,6 +80,13 @@ def window_hashes(h: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
+def _fresh(h: np.ndarray) -> np.ndarray:
+    """Where a sorted array has a value for the first time."""
+    out = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=out[1:])
+    return out
+
+
 def pack_sorted(h: np.ndarray) -> bytes:
     """Sorted hashes as differences, in as many bytes each as the largest needs."""
     d = np.diff(h, prepend=np.uint64(0))
@@ -112,7 +119,10 @@ def _emit(window: int, shards: int):
 
     def run(table: pa.Table) -> pa.Table:
         lex = Lexicon()
-        h = np.unique(np.concatenate([window_hashes(lex.hashes(lex.numbers(t)), window) for t in table.column("text").to_pylist()]))
+        numbers = [lex.numbers(t) for t in table.column("text").to_pylist()]
+        h = np.concatenate([window_hashes(lex.hashes(ids), window) for ids in numbers])
+        h.sort()
+        h = h[_fresh(h)]
         cut = np.searchsorted(h, np.array([(s << 64) // shards for s in range(1, shards)], np.uint64))
         parts = [(s, pack_sorted(x)) for s, x in enumerate(np.split(h, cut)) if len(x)]
         bundle = table.column("_bundle")[0].as_py()
@@ -188,17 +198,25 @@ def locate(numbers: list[np.ndarray], owners: list[np.ndarray], rank: np.ndarray
     return masks
 
 
-def first_owners(docs: list[np.ndarray], rank: np.ndarray, earlier: np.ndarray, known: np.ndarray) -> list[np.ndarray]:
-    """Per window the smallest rank of a document of the bundle that has it, -1 if earlier says so."""
-    if not docs:
-        return []
-    h = np.concatenate(docs)
-    who = np.repeat(rank, [len(x) for x in docs])
-    at = np.searchsorted(known, h)
-    low = np.full(len(known), np.iinfo(np.int64).max)
-    np.minimum.at(low, at, who)
+def first_owners(docs: list[np.ndarray], rank: np.ndarray, answers: list[tuple[bytes, int]]) -> list[np.ndarray]:
+    """Per window the smallest rank of a document of the bundle that has it, -1 if a smaller bundle does.
+
+    answers: the shards' bits and their numbers, in the order of the bundle's distinct hashes.
+    """
+    h = np.concatenate([*docs, np.zeros(0, np.uint64)])
+    order = np.argsort(h)
+    start = np.flatnonzero(_fresh(h[order]))
+    earlier = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in answers)])
+    if len(start) != len(earlier):
+        raise RuntimeError(f"{len(start)} distinct windows, {len(earlier)} answers")
+    size = np.array([len(x) for x in docs], np.int64)
+    if not len(h):
+        return list(docs)
+    low = np.minimum.reduceat(np.repeat(rank, size)[order], start)
     low[earlier] = -1
-    return np.split(low[at], np.cumsum([len(x) for x in docs])[:-1])
+    out = np.empty(len(h), np.int64)
+    out[order] = np.repeat(low, np.diff(start, append=len(h)))
+    return np.split(out, np.cumsum(size)[:-1])
 
 
 def _clean(window: int, columns: list[str], digest: bool, automaton_words: int):
@@ -209,13 +227,10 @@ def _clean(window: int, columns: list[str], digest: bool, automaton_words: int):
         texts = docs.column("text").to_pylist()
         numbers = [lex.numbers(t) for t in texts]
         hashes = [window_hashes(lex.hashes(ids), window) for ids in numbers]
-        known = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]))
-        told = sorted(zip(answers.column("shard").to_pylist(), answers.column("bits").to_pylist(), answers.column("n").to_pylist(), strict=True))
-        earlier = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for _, b, n in told)])
-        if len(known) != len(earlier):
-            raise RuntimeError(f"{len(known)} window hashes, {len(earlier)} answers")
+        told = sorted(zip(*(answers.column(c).to_pylist() for c in ("shard", "bits", "n")), strict=True))
+        # rows without a doc_id come after all others; equal doc_ids have equal ranks
         rank = ranks(docs.column("doc_id"))
-        owners = first_owners(hashes, rank, earlier, known)
+        owners = first_owners(hashes, rank, [(b, n) for _, b, n in told])
         del hashes
         masks = locate(numbers, owners, rank, window, automaton_words)
         kept = [b" ".join(w for w, gone in zip((t or "").encode("utf-8", "replace").split(), m.tolist(), strict=True) if not gone) if m.any() else None for t, m in zip(texts, masks, strict=True)]
