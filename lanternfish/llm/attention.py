@@ -55,7 +55,7 @@ def _rows(v: Vocabulary, ids: np.ndarray) -> np.ndarray:
 _LAG = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None]
 
 
-def _attend(q, k, v, far, valid=None, small=False):
+def _attend(q, k, v, far, valid=None, small=False, scoring=False):
     """Masked attention of (windows, tokens, dim) tables' rows; returns (weights, context)."""
     n = q.shape[1]
     first = k.shape[1] - n
@@ -68,7 +68,12 @@ def _attend(q, k, v, far, valid=None, small=False):
     if not small:
         a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
+    total = (a.reshape(-1, a.shape[2]) @ np.ones(a.shape[2], np.float32)).reshape(*a.shape[:2], 1)
+    if scoring:
+        c = a @ v
+        c /= total
+        return a, c
+    a /= total
     return a, a @ v
 
 
@@ -85,6 +90,10 @@ class Scorer:
         state = norm(w["emb"]) + norm(self.val)
         bounds = norm(self.q) * norm(self.k) + np.abs(w["far"]).max(), state * norm(w["cls"].T) + np.abs(w["cls_b"]).max(), state * norm(w["out"]) + np.abs(w["out_b"]).max()
         self.small = [bool(b < 60) for b in bounds]
+        self.ones = np.ones(max(v.classes + 1, v.width), np.float32)
+        # a token's rows of two tables lie together: one look-up each
+        self.key_value = np.ascontiguousarray(np.hstack([self.k, self.val]))
+        self.query_own = np.ascontiguousarray(np.hstack([self.q, w["emb"]]))
         self.turned = [np.ascontiguousarray(x.T) for x in w["out"]]
 
     def next_log_prob(self, h: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -102,7 +111,7 @@ class Scorer:
         z += w["cls_b"]
         if not self.small[1]:
             z -= z.max(axis=1, keepdims=True)
-        lp, total = z[line, cls], np.exp(z, out=z).sum(axis=1)
+        lp, total = z[line, cls], np.exp(z, out=z) @ self.ones[: z.shape[1]]
         inner = np.empty((len(h), v.width), np.float32)
         for c in range(v.classes):
             a, b = cut[c], cut[c + 1]
@@ -113,7 +122,7 @@ class Scorer:
         if not self.small[2]:
             known -= known.max(axis=1, keepdims=True)
         lp[: len(known)] += known[line[: len(known)], place[: len(known)]]
-        total[: len(known)] *= np.exp(known, out=known).sum(axis=1)
+        total[: len(known)] *= np.exp(known, out=known) @ self.ones[: v.width]
         out = np.empty(len(h))
         out[order] = lp - np.log(total)
         if len(known) < len(h):
@@ -126,7 +135,7 @@ class Scorer:
         Each text is cut into windows that overlap by CONTEXT tokens; a window scores
         the tokens that no window before it has scored, so each token is scored once.
         """
-        new = WINDOW - CONTEXT
+        new, dim = WINDOW - CONTEXT, self.q.shape[1]
         begin = np.cumsum(lengths) - lengths
         n = -(-lengths // new)
         text = np.repeat(np.arange(len(lengths)), n)
@@ -143,9 +152,10 @@ class Scorer:
             inside = (place >= 0) & (place < lengths[t][:, None])
             rows = np.where(inside, flat[np.clip(begin[t][:, None] + place, 0, len(ids))], self.v.seen + 1)
             valid = np.where(place >= -1, np.float32(0), np.float32(-1e9))[:, None, :]
-            q = self.q[rows[:, CONTEXT:]]
-            _, h = _attend(q, self.k[rows], self.val[rows], self.w["far"], valid, self.small[0])
-            h += self.w["emb"][rows[:, CONTEXT:]]
+            kv = np.take(self.key_value, rows, axis=0, mode="clip")
+            own = np.take(self.query_own, rows[:, CONTEXT:], axis=0, mode="clip")
+            _, h = _attend(own[..., :dim], kv[..., :dim], kv[..., dim:], self.w["far"], valid, self.small[0], True)
+            h += own[..., dim:]
             live = place[:, CONTEXT:] + 1 < lengths[t][:, None]
             goal = (begin[t][:, None] + place[:, CONTEXT:] + 1)[live]
             lp = self.next_log_prob(h[live], ranks[goal])
@@ -153,7 +163,7 @@ class Scorer:
         return total
 
 
-def train(v: Vocabulary, w: dict[str, np.ndarray], windows: np.ndarray, *, rate: float, batch: int = 128, least_steps: int = 200, seed: int = 0) -> dict[str, np.ndarray]:
+def train(v: Vocabulary, w: dict[str, np.ndarray], windows: np.ndarray, *, rate: float, batch: int = 128, least_steps: int = 300, seed: int = 0) -> dict[str, np.ndarray]:
     """Adam over windows (n, WINDOW + 1) of ids, -1 before a text's start, -2 after its end.
 
     One pass over all windows, or as many as make `least_steps`.

@@ -20,6 +20,7 @@ partition's documents.
 from __future__ import annotations
 
 import pickle
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +34,15 @@ from . import attention
 from .common import Scratch, shards_for, small_batches
 from .packing import Encoder, default_tokenizer
 
-DIM, ROUNDS, RATE = 24, 3, 0.02
+DIM, ROUNDS, RATE = 24, 2, 0.02
 #: Bound on the number of words whose counts are broadcast.
 FREQUENT = 2_000_000
 #: Text that one shard of the word counts stands for, and windows of one trainer.
-SHARD_MB, WINDOWS_EACH = 16, 30_000
+SHARD_MB, WINDOWS_EACH = 16, 40_000
 #: Windows to train on at least; a corpus of fewer training documents gives more of each.
 LEAST_WINDOWS = 40_000
 END_HASH = xxh64_intdigest(b"", 29)
-REMEMBER = 350_000
+REMEMBER = 700_000
 
 
 class Lexicon(dict):
@@ -58,17 +59,29 @@ class Lexicon(dict):
 
     def clear(self) -> None:
         super().clear()
-        self.found, self.packed = [END_HASH], [self.end_id.to_bytes(4, "little")]
+        self.found, self.words = [END_HASH], [b""]
+        self.packed: list[bytes | None] = [self.end_id.to_bytes(4, "little")]
         self.hash = np.zeros(0, np.uint64)
         self[b""] = 0
 
     def __missing__(self, word: bytes) -> int:
         self.found.append(xxh64_intdigest(word, 29))
-        text = " " + word.decode("utf-8", "replace")
-        self.packed.append(b"".join(np.array(self.enc.bpe.encode_single_piece(p.encode()), "<u4").tobytes() for p in self.enc.find(text)))
+        self.words.append(word)
+        self.packed.append(None)
         self[word] = n = len(self.found) - 1
         return n
 
+    def _pack(self, n: int) -> bytes:
+        """The subwords of word n after a space; a word of letters only is one piece."""
+        word = self.words[n]
+        encode = self.enc.bpe.encode_single_piece
+        if word.isalpha() or (text := word.decode("utf-8", "replace")).isalpha():
+            ids = encode(b" " + word)
+        else:
+            ids = [i for p in self.enc.find(" " + text) for i in encode(p.encode())]
+        self.packed[n] = got = array("I", ids).tobytes()
+        return got
+
     def numbers(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "replace").lower().split()
         out = np.zeros(len(words) + 1, np.int64)
@@ -81,8 +94,8 @@ class Lexicon(dict):
         return self.hash
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
-        packed = self.packed
-        return np.frombuffer(b"".join([packed[n] for n in numbers.tolist()]), "<u4").astype(np.int64)
+        packed, pack = self.packed, self._pack
+        return np.frombuffer(b"".join([packed[n] or pack(n) for n in numbers.tolist()]), np.uint32).astype(np.int64)
 
 
 _LEXICA: dict[str, Lexicon] = {}
