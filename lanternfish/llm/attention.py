@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Tokens of a window, and how many of them are context only.
-WINDOW, CONTEXT = 32, 8
+WINDOW, CONTEXT = 16, 4
 
 
 class Vocabulary:
@@ -64,7 +64,8 @@ def _attend(q, k, v, far, valid=None, small=False, scoring=False):
     a = q @ k.transpose(0, 2, 1)
     a += bias
     if valid is not None:
-        a += valid
+        some, there = valid
+        a[some] += there
     if not small:
         a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
@@ -96,15 +97,15 @@ class Scorer:
         self.query_own = np.ascontiguousarray(np.hstack([self.q, w["emb"]]))
         self.turned = [np.ascontiguousarray(x.T) for x in w["out"]]
 
-    def next_log_prob(self, h: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-        """Natural log probability of entries (by rank) after states h."""
+    def next_log_prob(self, h: np.ndarray, ranks: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Natural log probability of entries (by rank) after states h, or after the states at these places."""
         v, w = self.v, self.w
         cls = np.minimum(ranks, v.seen) // v.width
         cls = np.where(ranks >= v.seen, v.classes, cls)
         # by class, so that each class is one matrix product
         order = np.argsort(cls.astype(np.int16 if v.classes < 30_000 else np.int64), kind="stable")
         cut = np.searchsorted(cls[order], np.arange(v.classes + 2)).tolist()
-        h, cls = h[order], cls[order]
+        h, cls = np.take(h, order if at is None else at[order], axis=0, mode="clip"), cls[order]
         place = np.minimum(ranks[order] - cls * v.width, v.width - 1)
         line = np.arange(len(h))
         z = h @ w["cls"]
@@ -129,7 +130,7 @@ class Scorer:
             out[order[len(known) :]] -= np.log(max(1, v.unseen))
         return out
 
-    def score(self, ids: np.ndarray, lengths: np.ndarray, at_once: int = 480) -> np.ndarray:
+    def score(self, ids: np.ndarray, lengths: np.ndarray, at_once: int = 960) -> np.ndarray:
         """Natural log probability of each text; ids: all texts' tokens, one after the other.
 
         Each text is cut into windows that overlap by CONTEXT tokens; a window scores
@@ -151,14 +152,16 @@ class Scorer:
             place = first[a : a + at_once, None] + step[None]  # place in the text of each input
             inside = (place >= 0) & (place < lengths[t][:, None])
             rows = np.where(inside, flat[np.clip(begin[t][:, None] + place, 0, len(ids))], self.v.seen + 1)
-            valid = np.where(place >= -1, np.float32(0), np.float32(-1e9))[:, None, :]
+            # only a text's first window has places before its start
+            opening = np.flatnonzero(first[a : a + at_once] < 0)
+            valid = opening, np.where(place[opening] >= -1, np.float32(0), np.float32(-1e9))[:, None, :]
             kv = np.take(self.key_value, rows, axis=0, mode="clip")
             own = np.take(self.query_own, rows[:, CONTEXT:], axis=0, mode="clip")
             _, h = _attend(own[..., :dim], kv[..., :dim], kv[..., dim:], self.w["far"], valid, self.small[0], True)
             h += own[..., dim:]
             live = place[:, CONTEXT:] + 1 < lengths[t][:, None]
             goal = (begin[t][:, None] + place[:, CONTEXT:] + 1)[live]
-            lp = self.next_log_prob(h[live], ranks[goal])
+            lp = self.next_log_prob(h.reshape(-1, dim), ranks[goal], np.flatnonzero(live))
             total += np.bincount(np.broadcast_to(t[:, None], live.shape)[live], lp, len(lengths))
         return total
 

@@ -5,10 +5,9 @@ What is learnt from the corpus:
 * word counts of all training documents, for the base. Each task counts its words by
   64-bit hash and hands them on packed, by range of the hash; each shard sums its own.
 * a window of subword ids of every training document, for the attention model (of a small
-  corpus several, `least_windows` in all). Trainers
-  each pass over their share of the windows with the same starting weights, and the
-  weights are averaged in a tree, for a few rounds (`rounds`). The number of trainers
-  follows the number of windows.
+  corpus several, `least_windows` in all). In each of a few rounds (`rounds`) trainers
+  pass over their shares of its windows from the same weights, which are then averaged in
+  a tree. The number of trainers follows the number of windows.
 
 Scoring passes over the documents once, in place. Words whose training count is at least
 a 1/`frequent` share of all tokens are at most `frequent` in number; this bounded table
@@ -40,9 +39,9 @@ FREQUENT = 2_000_000
 #: Text that one shard of the word counts stands for, and windows of one trainer.
 SHARD_MB, WINDOWS_EACH = 16, 40_000
 #: Windows to train on at least; a corpus of fewer training documents gives more of each.
-LEAST_WINDOWS = 40_000
+LEAST_WINDOWS = 80_000
 END_HASH = xxh64_intdigest(b"", 29)
-REMEMBER = 700_000
+REMEMBER = 1_200_000
 
 
 class Lexicon(dict):
@@ -188,13 +187,13 @@ def _windows(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.int32).reshape(-1, attention.WINDOW + 1)
 
 
-def _learn(sent, rate: float, seed: int):
-    """One trainer's pass over its windows."""
+def _learn(sent, rate: float, turn: int, turns: int):
+    """One trainer's pass over this turn's share of its windows."""
 
     def run(table: pa.Table) -> pa.Table:
         v, w = sent.value
-        mine = np.concatenate([_windows(x) for x in sorted(table.column("counts").to_pylist())])
-        w = attention.train(v, w, mine, rate=rate, seed=seed)
+        mine = np.concatenate([_windows(x) for x in sorted(table.column("counts").to_pylist())])[turn::turns]
+        w = attention.train(v, w, mine, rate=rate, seed=turn)
         return pa.table([pa.array([table.column("trainer")[0].as_py()], pa.int32()), pa.array([len(mine)], pa.int64()), pa.array([pickle.dumps(w)], pa.binary())], names=["trainer", "n", "weights"])
 
     return run
@@ -212,7 +211,7 @@ def _mean(table: pa.Table) -> pa.Table:
 
 
 def fit_attention(windows: DataFrame, size: int, scratch: Scratch, *, dim: int, rounds: int, rate: float, windows_each: int) -> tuple[attention.Vocabulary, dict]:
-    """Train on all windows: rounds of one pass by each trainer, then the mean of the weights.
+    """Train on all windows: each round takes its share of each trainer's windows, then the mean of the weights.
 
     windows has one row per input batch; its `counts` column holds packed windows.
     """
@@ -238,13 +237,13 @@ def fit_attention(windows: DataFrame, size: int, scratch: Scratch, *, dim: int,
             counts[r.id] = r.n
     v = attention.Vocabulary(counts)
     w = attention.start(v, dim)
-    trainers = shards_for(rows, windows_each)
+    trainers = shards_for(rows, windows_each * rounds)
     dealt = scratch.keep(windows.select("counts", F.pmod(F.xxhash64("counts"), F.lit(trainers)).cast("int").alias("trainer")).repartition(trainers, "trainer"), "dealt") if rows else None
     for i in range(rounds if rows else 0):
         sent = spark.sparkContext.broadcast((v, w))
 
         kind = "trainer int, n long, weights binary"
-        left, part = trainers, dealt.groupBy("trainer").applyInArrow(_learn(sent, rate / (1 + i), i), kind)
+        left, part = trainers, dealt.groupBy("trainer").applyInArrow(_learn(sent, rate / (1 + i), i, rounds), kind)
         while left > 1:
             left = -(-left // 16)
             part = part.withColumn("trainer", F.col("trainer") % left).groupBy("trainer").applyInArrow(_mean, kind)
