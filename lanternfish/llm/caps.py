@@ -31,7 +31,7 @@ from .common import Scratch, components, shards_for, small_batches
 from .simhash import forest
 
 #: Residents that a filter should have, and that one task compares at once.
-PER_FILTER, PER_BLOCK = 48, 4096
+PER_FILTER, PER_BLOCK = 160, 4096
 
 
 def codes(dim: int, size: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
