@@ -13,6 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def corr(x: str, y: str) -> Column:
+    """Pearson correlation over rows where both are known; null where one doesn't vary."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def delivery(rows: DataFrame, least_titles: int, least_charting: int, weight: Column | None = None, by: list[str] | None = None) -> DataFrame:
     """Share of hours over share of chart slots by genre; rows are (title_id, genre, hours, slots, weeks_charted).
 
@@ -57,7 +63,7 @@ def average_rank(c: str) -> Column:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """(n, rho) over rows where both are known."""
     r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(average_rank(x).alias("rx"), average_rank(y).alias("ry"))
-    return r.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
+    return r.agg(F.count("*").alias("n"), corr("rx", "ry").alias("rho"))
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -110,9 +116,10 @@ def solve(row, k: int) -> tuple[np.ndarray, float]:
 
 
 def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
-    """(term, estimate, r2), one row a term."""
-    beta, r2 = solve(normal_equations(df, y, xs).first(), len(xs) + 1)
-    return df.sparkSession.createDataFrame([(t, float(b), float(r2)) for t, b in zip(["intercept", *xs], beta, strict=True)], "term string, estimate double, r2 double")
+    """(term, estimate, r2), one row a term; no rows in, none out."""
+    row, terms = normal_equations(df, y, xs).first(), ["intercept", *xs]
+    beta, r2 = solve(row, len(terms)) if row.s_0_0 else ([], float("nan"))
+    return df.sparkSession.createDataFrame([(t, float(b), float(r2)) for t, b in zip(terms, beta, strict=False)], "term string, estimate double, r2 double")
 
 
 def ols_interval(df: DataFrame, unit: str, y: str, xs: list[str], replicates: int, seed: str = "s") -> DataFrame:
@@ -137,7 +144,7 @@ def lag_correlations(series: DataFrame, key: str = "key", max_lag: int = 4, min_
     d = differences(series, key, **cols)
     h = d.select(key, "i", "dh", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")).withColumn("j", F.col("i") + F.col("lag"))
     p = d.select(key, F.col("i").alias("j"), "dp")
-    r = h.join(p, [key, "j"]).groupBy(key, "lag").agg(F.corr("dh", "dp").alias("r"), F.count("*").alias("pairs"), F.stddev_pop("dh").alias("sh"), F.stddev_pop("dp").alias("sp"))
+    r = h.join(p, [key, "j"]).groupBy(key, "lag").agg(corr("dh", "dp").alias("r"), F.count("*").alias("pairs"), F.stddev_pop("dh").alias("sh"), F.stddev_pop("dp").alias("sp"))
     return r.where((F.col("pairs") >= min_pairs) & (F.col("sh") > 0) & (F.col("sp") > 0)).select(key, "lag", "r", "pairs")
 
 
@@ -167,7 +174,7 @@ def placebo(series: DataFrame, key: str = "key", draws_: int = 500, min_pairs: i
     one = d.select(F.col(key).alias("ka"), F.col("i").alias("t"), "dh").join(ids.select(F.col(key).alias("ka"), F.col("i").alias("a")), "ka")
     two = d.select(F.col(key).alias("kb"), F.col("i").alias("t"), "dp").join(ids.select(F.col(key).alias("kb"), F.col("i").alias("b")), "kb")
     j = pairs.join(one, "a").join(two, ["b", "t"])
-    return j.groupBy("draw").agg(F.corr("dh", "dp").alias("r"), F.count("*").alias("pairs")).where((F.col("pairs") >= min_pairs) & F.col("r").isNotNull()).select("draw", "r")
+    return j.groupBy("draw").agg(corr("dh", "dp").alias("r"), F.count("*").alias("pairs")).where((F.col("pairs") >= min_pairs) & F.col("r").isNotNull()).select("draw", "r")
 
 
 def sign_test(leads: int, lags: int) -> float:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanternfish.functions import titles as T
+from lanternfish.operators import stats as S
 
 from . import analogue as A
 from . import views as V
@@ -114,7 +115,7 @@ def metric_coverage(spark, d):
 @query("metric_agreement", EARNING + "SELECT round(corr(hours_per_week_available, weeks_charted), 6) AS headline_longevity, round(corr(hours_per_week_available, hours_per_1k_pageviews), 6) AS headline_ratio, round(corr(rating, weeks_charted), 6) AS rating_longevity FROM earning WHERE hours >= 1000000")
 def metric_agreement(spark, d):
     e = earning(spark, d).where("hours >= 1000000")
-    return e.agg(*[F.round(F.corr(a, F.col(b).cast("double")), 6).alias(n) for a, b, n in (("hours_per_week_available", "weeks_charted", "headline_longevity"), ("hours_per_week_available", "hours_per_1k_pageviews", "headline_ratio"), ("rating", "weeks_charted", "rating_longevity"))])
+    return e.agg(*[F.round(S.corr(a, b), 6).alias(n) for a, b, n in (("hours_per_week_available", "weeks_charted", "headline_longevity"), ("hours_per_week_available", "hours_per_1k_pageviews", "headline_ratio"), ("rating", "weeks_charted", "rating_longevity"))])
 
 
 @query("available_source_split", EARNING + "SELECT available_from_source, count(*) AS titles, round(median(weeks_available), 1) AS median_weeks, CAST(sum(hours) AS BIGINT) AS hours, round(sum(hours) * 1.0 / (SELECT sum(hours) FROM earning), 9) AS share FROM earning GROUP BY 1")
@@ -133,9 +134,9 @@ def young_old_extremes(spark, d):
     return top("young", "weeks_available <= 330 and hours >= 100000").unionByName(top("old", "weeks_available > 500"))
 
 
-@query("orphans", SQL + ", chosen AS (SELECT * FROM dim_title WHERE part % 7 <> 0) SELECT 'engagement' AS fact, count(*) AS orphans FROM fact_engagement f WHERE NOT EXISTS (SELECT 1 FROM chosen s WHERE s.title_id = f.title_id) UNION ALL SELECT 'top10', count(*) FROM fact_top10 f LEFT JOIN chosen s USING (title_id) WHERE f.title_id IS NOT NULL AND s.title_id IS NULL")
+@query("orphans", SQL + ", chosen AS (SELECT * FROM dim_title WHERE matched) SELECT 'engagement' AS fact, count(*) AS orphans FROM fact_engagement f WHERE NOT EXISTS (SELECT 1 FROM chosen s WHERE s.title_id = f.title_id) UNION ALL SELECT 'top10', count(*) FROM fact_top10 f LEFT JOIN chosen s USING (title_id) WHERE f.title_id IS NOT NULL AND s.title_id IS NULL")
 def orphans(spark, d):
-    some = A.dim_title(spark, d).where("part % 7 <> 0").select("title_id")
+    some = A.dim_title(spark, d).where("matched").select("title_id")
     check = lambda name, f: f.join(some, "title_id", "left_anti").agg(F.lit(name).alias("fact"), F.count("*").alias("orphans"))
     return check("engagement", A.fact_engagement(spark, d)).unionByName(check("top10", A.fact_top10(spark, d).where("title_id is not null")))
 
@@ -165,10 +166,10 @@ def weak_scope_fallback(spark, d):
     return j.select("week", "category", "weekly_rank", F.coalesce("k", "e").alias("found_id"), F.when(F.col("k").isNotNull(), F.lit("period")).when(F.col("e").isNotNull(), F.lit("name_only")).alias("scope"))
 
 
-@query("article_map", SQL + ", m AS (SELECT part, title_id, p_name AS article FROM keyed_titles WHERE part % 5 <> 0) SELECT article, arg_max(title_id, part) AS title_id, count(DISTINCT title_id) AS claimed_by FROM m GROUP BY 1")
+@query("article_map", SQL + ", m AS (SELECT part, title_id, p_name AS article FROM keyed_titles) SELECT article, arg_max(title_id, part) AS title_id, count(DISTINCT title_id) AS claimed_by FROM m GROUP BY 1")
 def article_map(spark, d):
     """Several titles share an article: the last in map order keeps it."""
-    return A.keyed_titles(spark, d).where("part % 5 <> 0").groupBy(F.col("p_name").alias("article")).agg(F.max_by("title_id", "part").alias("title_id"), F.count_distinct("title_id").alias("claimed_by"))
+    return A.keyed_titles(spark, d).groupBy(F.col("p_name").alias("article")).agg(F.max_by("title_id", "part").alias("title_id"), F.count_distinct("title_id").alias("claimed_by"))
 
 
 @query("shared_ids", SQL + "SELECT title_id, part, title FROM (SELECT *, count(*) OVER (PARTITION BY title_id) AS n FROM keyed_titles) WHERE n > 1")
@@ -238,13 +239,12 @@ def title_parse(spark, d):
 
 
 @query("text_keys", r"""
-WITH t AS (SELECT doc_id, lang, substr(text, 1, 40) AS head FROM documents),
-k AS (SELECT doc_id, lang, trim(regexp_replace(replace(lower(strip_accents(replace(replace(replace(head, '&', ' and '), '+', ' and '), '×', ' x '))), 'ß', 'ss'), '[^\p{L}\p{N}]+', ' ', 'g')) AS key FROM t)
-SELECT doc_id, lang, key, replace(key, ' ', '') AS compact_key, sha1(key) AS key_sha FROM k""")
+WITH k AS (SELECT doc_id, lang, trim(regexp_replace(replace(lower(strip_accents(replace(replace(replace(text, '&', ' and '), '+', ' and '), '×', ' x '))), 'ß', 'ss'), '[^\p{L}\p{N}]+', ' ', 'g')) AS key FROM documents)
+SELECT doc_id, lang, length(key) AS key_length, sha1(replace(key, ' ', '')) AS compact_sha, sha1(key) AS key_sha FROM k""")
 def text_keys(spark, d):
     """The normaliser, acronym runs left apart, on text in four languages."""
-    k = A.table(spark, d, "documents").select("doc_id", "lang", T.normalise(F.substring("text", 1, 40), collapse_acronyms=False).alias("key"))
-    return k.select("doc_id", "lang", "key", T.compact(F.col("key")).alias("compact_key"), F.sha1("key").alias("key_sha"))
+    k = A.table(spark, d, "documents").select("doc_id", "lang", T.normalise(F.col("text"), collapse_acronyms=False).alias("key"))
+    return k.select("doc_id", "lang", F.length("key").cast("long").alias("key_length"), F.sha1(T.compact(F.col("key"))).alias("compact_sha"), F.sha1("key").alias("key_sha"))
 
 
 @query("seasons_json", SQL + "SELECT name_key, kind, CAST(to_json(list(DISTINCT CAST(season_number AS INTEGER) ORDER BY CAST(season_number AS INTEGER))) AS VARCHAR) AS seasons, CAST(max(season_number) AS INTEGER) AS max_season FROM keyed_titles WHERE season_number IS NOT NULL GROUP BY 1, 2")

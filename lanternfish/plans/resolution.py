@@ -13,8 +13,8 @@ from .registry import query
 
 
 def basics(spark, d):
-    """Catalogue titles: every second part, some names hyphenated, some original names run together."""
-    t = A.titles(spark, d).where("part % 2 = 0")
+    """Catalogue titles: one a part, some names hyphenated, some original names run together."""
+    t = A.titles(spark, d)
     name = F.col("p_name")
     return t.select(
         F.concat(F.lit("tt"), F.lpad(F.col("part").cast("string"), 7, "0")).alias("tconst"), "part",
@@ -26,12 +26,12 @@ def basics(spark, d):
 def names(spark, d):
     b = basics(spark, d)
     w = F.split("p_name", " ")
-    akas = b.where("part % 4 = 0").select("tconst", F.concat(w[1], F.lit(" "), w[0]).alias("title"))
+    akas = b.select("tconst", F.concat(w[1], F.lit(" "), w[0]).alias("title"))
     return C.name_index(b, akas)
 
 
 def ratings(spark, d):
-    return basics(spark, d).where("part % 6 <> 0").select("tconst", (F.col("part") * 37 % 500).alias("votes"))
+    return basics(spark, d).select("tconst", F.when(F.col("part") % 6 != 0, F.col("part") * 37 % 500).alias("votes"))
 
 
 def ents(spark, d):
@@ -45,11 +45,11 @@ CATALOGUE = (
 basics AS (
   SELECT part, 'tt' || lpad(CAST(part AS VARCHAR), 7, '0') AS tconst, CASE WHEN kind = 'film' THEN 'movie' ELSE 'tvSeries' END AS type, CAST(1990 + part % 20 AS INTEGER) AS start_year, kind = 'tv' AS is_series,
     CASE WHEN part % 5 = 0 THEN replace(p_name, ' ', '-') ELSE p_name END AS primary_title, CASE WHEN part % 7 = 0 THEN replace(p_name, ' ', '') ELSE p_name END AS original_title, p_name
-  FROM titles WHERE part % 2 = 0),
+  FROM titles),
 named2 AS (
   SELECT tconst, type, start_year, is_series, primary_title AS name, 'primary' AS source FROM basics
   UNION ALL SELECT tconst, type, start_year, is_series, original_title, 'original' FROM basics
-  UNION ALL SELECT tconst, type, start_year, is_series, split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1), 'aka' FROM basics WHERE part % 4 = 0),
+  UNION ALL SELECT tconst, type, start_year, is_series, split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1), 'aka' FROM basics),
 names AS (SELECT tconst, type, start_year, is_series, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS key, min(source) AS source FROM named2 GROUP BY ALL),
 ents AS (SELECT title_id, kind, name_key AS key, year FROM keyed_titles GROUP BY ALL),
 keys AS (
@@ -79,11 +79,11 @@ residue AS (SELECT * FROM ents WHERE title_id NOT IN (SELECT title_id FROM exact
 want AS (SELECT DISTINCT title_id, key AS ent_key, kind = 'tv' AS is_series, unnest(string_split(key, ' ')) AS token FROM residue),
 rare AS (SELECT w.*, row_number() OVER (PARTITION BY title_id ORDER BY df, token) AS r FROM want w JOIN freq USING (token) WHERE length(token) > 1),
 pooled AS (SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY tconst, key) AS n FROM (SELECT DISTINCT r.title_id, r.ent_key, t.tconst, t.key FROM rare r JOIN tokens t ON t.token = r.token AND t.is_series = r.is_series WHERE r.r <= 2)),
-pairs AS (SELECT DISTINCT array_to_string(list_sort(string_split(ent_key, ' ')), ' ') AS a, array_to_string(list_sort(string_split(key, ' ')), ' ') AS b, ent_key, key FROM pooled WHERE n <= 40),
+pairs AS (SELECT DISTINCT array_to_string(list_sort(string_split(ent_key, ' ')), ' ') AS a, array_to_string(list_sort(string_split(key, ' ')), ' ') AS b, ent_key, key FROM pooled WHERE n <= 4000),
 lcs AS (SELECT ent_key, key, length(a) + length(b) AS total, list_reduce(list_transform(string_split(a, ''), lambda ch: [ascii(ch)]), lambda above, ch: list_reduce(list_transform(range(1, CAST(length(b) + 1 AS BIGINT)), lambda j: [CAST(j AS INTEGER)]), lambda acc, j: list_append(acc, CASE WHEN ascii(b[j[1]]) = ch[1] THEN above[j[1]] + 1 ELSE greatest(above[j[1] + 1], acc[j[1]]) END), [0]), list_transform(range(0, CAST(length(b) + 1 AS BIGINT)), lambda j: 0))[-1] AS common FROM pairs),
 scored AS (
   SELECT p.title_id, p.ent_key, p.tconst, p.key, round(200.0 * l.common / l.total, 6) AS score, row_number() OVER (PARTITION BY title_id ORDER BY 200.0 * l.common / l.total DESC, tconst, key) AS rank, count(*) OVER (PARTITION BY title_id) AS pool
-  FROM pooled p JOIN lcs l USING (ent_key, key) WHERE p.n <= 40)
+  FROM pooled p JOIN lcs l USING (ent_key, key) WHERE p.n <= 4000)
 """
 )
 
@@ -133,7 +133,7 @@ def close_contests(spark, d):
 
 def fuzzy(spark, d):
     residue = ents(spark, d).join(exact(spark, d).select("title_id"), "title_id", "left_anti")
-    return C.fuzzy_stage(residue, *C.token_index(names(spark, d)), cap=40)
+    return C.fuzzy_stage(residue, *C.token_index(names(spark, d)))
 
 
 @query("fuzzy_topk", CATALOGUE + "SELECT title_id, ent_key, tconst, key, score, CAST(rank AS INTEGER) AS rank, pool, CASE WHEN score >= 87 THEN 'catalogue_fuzzy' ELSE 'near_miss' END AS stage FROM scored WHERE rank <= 3")
@@ -158,13 +158,13 @@ def threshold_sweep(spark, d):
 
 
 @query("season_validation", CATALOGUE + """,
-episodes AS (SELECT 'tt' || lpad(CAST(l_partkey AS VARCHAR), 7, '0') AS parent, l_linenumber AS season FROM lineitem WHERE l_partkey % 2 = 0),
+episodes AS (SELECT 'tt' || lpad(CAST(l_partkey AS VARCHAR), 7, '0') AS parent, l_linenumber AS season FROM lineitem),
 most AS (SELECT parent AS tconst, max(season) AS max_season FROM episodes GROUP BY 1),
 reported AS (SELECT title_id, max(season_number) AS top FROM keyed_titles WHERE kind = 'tv' AND season_number IS NOT NULL GROUP BY 1)
 SELECT e.title_id, x.tconst, m.max_season, CASE WHEN r.top IS NOT NULL AND m.max_season IS NOT NULL THEN r.top <= m.max_season END AS seasons_present
 FROM ents e JOIN exact x USING (title_id) LEFT JOIN most m USING (tconst) LEFT JOIN reported r USING (title_id)""")
 def season_validation(spark, d):
-    li = A.table(spark, d, "lineitem").where("l_partkey % 2 = 0")
+    li = A.table(spark, d, "lineitem")
     episodes = li.select(F.concat(F.lit("tt"), F.lpad(F.col("l_partkey").cast("string"), 7, "0")).alias("parent"), F.col("l_linenumber").alias("season"))
     m = ents(spark, d).select("title_id", "kind", "seasons").join(exact(spark, d).select("title_id", "tconst"), "title_id")
     return C.validate_seasons(m, episodes).select("title_id", "tconst", "max_season", "seasons_present")
@@ -182,7 +182,7 @@ def chart_ladder(spark, d):
     """Weekly chart names matched to reported names, blocked by half-year and kind."""
     half = F.concat(F.lit("H"), (F.col("part") % 2).cast("string"))
     t = A.titles(spark, d).withColumn("period", half)
-    left = t.where("part % 3 <> 2").select(F.col("part").alias("id"), F.when(F.col("part") % 4 == 1, F.replace("title", F.lit("Season"), F.lit("season"))).when(F.col("part") % 8 == 2, F.replace("title", F.lit(": Limited Series"), F.lit(""))).otherwise(F.col("title")).alias("t"), "period", "kind")
-    right = t.where("part % 3 <> 1").select(F.col("part").alias("id"), F.col("title").alias("t"), "period", "kind")
+    left = t.select(F.col("part").alias("id"), F.when(F.col("part") % 4 == 1, F.replace("title", F.lit("Season"), F.lit("season"))).when(F.col("part") % 8 == 2, F.replace("title", F.lit(": Limited Series"), F.lit(""))).otherwise(F.col("title")).alias("t"), "period", "kind")
+    right = t.select(F.col("part").alias("id"), F.col("title").alias("t"), "period", "kind")
     block = ["period", "kind"]
     return L.match(L.candidates(left, "id", "t", block), L.candidates(right, "id", "t", block), block).withColumn("score", F.round("score", 6)).withColumn("runner_up", F.round("runner_up", 6))

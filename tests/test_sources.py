@@ -127,7 +127,7 @@ def test_weekly_stream_equals_batch(spark, tmp_path):
     late = spark.createDataFrame([(9999999, dt.datetime(2024, 6, 1), 1, "flush", 0.0, None)], events.schema)
     events.unionByName(late).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    q = weekly.weekly_counts(weekly.deduplicated(stream, ["event_id"])).writeStream.outputMode("append").format("memory").queryName("weekly").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = weekly.weekly_counts(weekly.deduplicated(stream, ["event_id"]), late=None).writeStream.outputMode("append").format("memory").queryName("weekly").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     key = lambda df: sorted((r.week_start, r.week_ending, r.event_type, r.n, round(r.total, 6)) for r in df.collect())
     assert key(spark.table("weekly")) == key(weekly.weekly_counts(events))
