@@ -221,10 +221,10 @@ def props_json(spark, d):
     return e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.sum("k").alias("k_sum"))
 
 
-@query("stratified_sample", SQL + ", banded AS (SELECT part, title, CAST(floor(p_retailprice / 100) AS BIGINT) AS band, md5('7-' || part) AS h FROM keyed_titles) SELECT band, part, title FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY h, part) AS r FROM banded) WHERE r <= 5")
+@query("stratified_sample", SQL + ", banded AS (SELECT part, title, CAST(floor(p_size / 10) AS BIGINT) AS band, md5('7-' || part) AS h FROM keyed_titles) SELECT band, part, title FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY h, part) AS r FROM banded) WHERE r <= 5")
 def stratified_sample(spark, d):
     """Five of each band by a seeded hash: the same rows in any run and engine."""
-    t = A.keyed_titles(spark, d).withColumn("band", F.floor(F.col("p_retailprice") / 100)).withColumn("h", F.md5(F.concat(F.lit("7-"), F.col("part").cast("string"))))
+    t = A.keyed_titles(spark, d).withColumn("band", F.floor(F.col("p_size") / 10)).withColumn("h", F.md5(F.concat(F.lit("7-"), F.col("part").cast("string"))))
     return t.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy("h", "part"))).where("r <= 5").select("band", "part", "title")
 
 
