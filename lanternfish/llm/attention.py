@@ -93,13 +93,18 @@ class Scorer:
         self.small = [bool(b < 60) for b in bounds]
         self.ones = np.ones(max(v.classes + 1, v.width), np.float32)
         # a token's rows of two tables lie together: one look-up each
-        self.key_value = np.ascontiguousarray(np.hstack([self.k, self.val]))
-        self.query_own = np.ascontiguousarray(np.hstack([self.q, w["emb"]]))
-        self.turned = [np.ascontiguousarray(x.T) for x in w["out"]]
+        # a state ends in 1, so that biases are one more row of the output matrices
+        one = np.ones((len(self.q), 1), np.float32)
+        self.key_value = np.ascontiguousarray(np.hstack([self.k, self.val, 0 * one]))
+        self.query_own = np.ascontiguousarray(np.hstack([self.q, w["emb"], one]))
+        self.classes = np.vstack([w["cls"], w["cls_b"][None]]).astype(np.float32)
+        self.turned = [np.vstack([x.T, b[None]]).astype(np.float32) for x, b in zip(w["out"], w["out_b"], strict=True)]
 
     def next_log_prob(self, h: np.ndarray, ranks: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
         """Natural log probability of entries (by rank) after states h, or after the states at these places."""
-        v, w = self.v, self.w
+        v = self.v
+        if h.shape[1] < len(self.classes):
+            h = np.hstack([h, np.ones((len(h), 1))]).astype(np.float32)
         cls = np.minimum(ranks, v.seen) // v.width
         cls = np.where(ranks >= v.seen, v.classes, cls)
         # by class, so that each class is one matrix product
@@ -108,8 +113,7 @@ class Scorer:
         h, cls = np.take(h, order if at is None else at[order], axis=0, mode="clip"), cls[order]
         place = np.minimum(ranks[order] - cls * v.width, v.width - 1)
         line = np.arange(len(h))
-        z = h @ w["cls"]
-        z += w["cls_b"]
+        z = h @ self.classes
         if not self.small[1]:
             z -= z.max(axis=1, keepdims=True)
         lp, total = z[line, cls], np.exp(z, out=z) @ self.ones[: z.shape[1]]
@@ -118,7 +122,6 @@ class Scorer:
             a, b = cut[c], cut[c + 1]
             if b > a:
                 np.matmul(h[a:b], self.turned[c], out=inner[a:b])
-                inner[a:b] += w["out_b"][c]
         known = inner[: cut[v.classes]]
         if not self.small[2]:
             known -= known.max(axis=1, keepdims=True)
@@ -161,7 +164,7 @@ class Scorer:
             h += own[..., dim:]
             live = place[:, CONTEXT:] + 1 < lengths[t][:, None]
             goal = (begin[t][:, None] + place[:, CONTEXT:] + 1)[live]
-            lp = self.next_log_prob(h.reshape(-1, dim), ranks[goal], np.flatnonzero(live))
+            lp = self.next_log_prob(h.reshape(-1, dim + 1), ranks[goal], np.flatnonzero(live))
             total += np.bincount(np.broadcast_to(t[:, None], live.shape)[live], lp, len(lengths))
         return total
 
