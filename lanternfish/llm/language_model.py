@@ -4,10 +4,11 @@ What is learnt from the corpus:
 
 * word counts of all training documents, for the base. Each task counts its words by
   64-bit hash and hands them on packed, by range of the hash; each shard sums its own.
-* a window of subword ids of every training document, for the attention model (of a small
-  corpus several, `least_windows` in all). In each of a few rounds (`rounds`) trainers
-  pass over their shares of its windows from the same weights, which are then averaged in
-  a tree. The number of trainers follows the number of windows.
+* all subwords of every training document, for the attention model: texts are cut into
+  consecutive windows in which each subword is predicted once. In each of a few rounds
+  (`rounds`) trainers pass over their shares of the windows from the same weights, which
+  are then averaged in a tree. The number of trainers follows the number of windows. The
+  subword vocabulary is counted on all these windows.
 
 Scoring passes over the documents once, in place. Words whose training count is at least
 a 1/`frequent` share of all tokens are at most `frequent` in number; this bounded table
@@ -38,8 +39,8 @@ DIM, ROUNDS, RATE = 24, 2, 0.02
 FREQUENT = 2_000_000
 #: Text that one shard of the word counts stands for, and windows of one trainer.
 SHARD_MB, WINDOWS_EACH = 16, 40_000
-#: Windows to train on at least; a corpus of fewer training documents gives more of each.
-LEAST_WINDOWS = 80_000
+#: Windows of one row on their way to the trainers.
+AT_ONCE = 2000
 END_HASH = xxh64_intdigest(b"", 29)
 REMEMBER = 1_200_000
 
@@ -117,11 +118,24 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
 COUNTED = "kind int, shard int, hashes binary, counts binary"
 
 
-def _count(path: str, shards: int, each: int):
-    """Word counts of training documents by shard (kind 0), and `each` windows of each (kind 1, packed)."""
+def cut(ids: np.ndarray) -> np.ndarray:
+    """A text's subwords as windows (n, WINDOW + 1) of inputs and the subword after the last.
+
+    Windows overlap by the one subword that ends a window and opens the next, so each is
+    predicted once; -1 stands before the text's start, -2 after its end.
+    """
+    size = attention.WINDOW
+    n = -(-len(ids) // size)
+    seq = np.full(n * size + 1, -2, np.int32)
+    seq[0], seq[1 : len(ids) + 1] = -1, ids
+    return np.lib.stride_tricks.sliding_window_view(seq, size + 1)[::size]
+
+
+def _count(path: str, shards: int):
+    """Word counts of training documents by shard (kind 0), and all their windows (kind 1, packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, total, size = lexicon(path), np.zeros(1 << 12, np.int64), attention.WINDOW + 1
+        lex, total = lexicon(path), np.zeros(1 << 12, np.int64)
         names = [x.split()[0] for x in COUNTED.split(", ")]
         batch = lambda k, s, h, c: pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(s, pa.int32()), pa.array(h, pa.binary()), pa.array(c, pa.binary())], names=names)
 
@@ -130,9 +144,9 @@ def _count(path: str, shards: int, each: int):
             h, n = lex.hashes()[at], total[at]
             order = np.argsort(h)
             h, n = h[order], n[order]
-            cut = np.searchsorted(_shard(h, shards), np.arange(shards + 1))
-            some = [s for s in range(shards) if cut[s + 1] > cut[s]]
-            return batch([0] * len(some), some, [h[cut[s] : cut[s + 1]].tobytes() for s in some], [n[cut[s] : cut[s + 1]].astype(np.int64).tobytes() for s in some])
+            to = np.searchsorted(_shard(h, shards), np.arange(shards + 1))
+            some = [s for s in range(shards) if to[s + 1] > to[s]]
+            return batch([0] * len(some), some, [h[to[s] : to[s + 1]].tobytes() for s in some], [n[to[s] : to[s + 1]].astype(np.int64).tobytes() for s in some])
 
         for b in batches:
             if len(lex) > REMEMBER:
@@ -140,22 +154,17 @@ def _count(path: str, shards: int, each: int):
                 lex.clear()
                 total[:] = 0
             windows, docs = [], []
-            for text, seed in zip(b.column("text").to_pylist(), b.column("seed").to_pylist(), strict=True):
+            for text in b.column("text").to_pylist():
                 n = lex.numbers(text)
                 docs.append(n)
-                for j in range(each):
-                    # a window's words are enough: subwords are one a word at least
-                    first = (seed + j * 7919) % max(1, len(n) - size // 2)
-                    ids = lex.ids(n[first : first + size])
-                    if first == 0:
-                        ids = np.concatenate([[-1], ids])
-                    ids = ids[:size]
-                    windows.append(np.concatenate([ids, np.full(size - len(ids), -2)]).astype(np.int32))
+                windows.append(cut(lex.ids(n)))
             if docs:
                 if len(total) < len(lex.found):
                     total = np.concatenate([total, np.zeros(2 * len(lex.found) - len(total), np.int64)])
                 total += np.bincount(np.concatenate(docs), minlength=len(total))
-                yield batch([1], [0], [None], [np.concatenate(windows).tobytes()])
+                whole = np.concatenate(windows)
+                for i in range(0, len(whole), AT_ONCE):
+                    yield batch([1], [0], [None], [whole[i : i + AT_ONCE].tobytes()])
         yield counts()
 
     return run
@@ -213,7 +222,7 @@ def _mean(table: pa.Table) -> pa.Table:
 def fit_attention(windows: DataFrame, size: int, scratch: Scratch, *, dim: int, rounds: int, rate: float, windows_each: int) -> tuple[attention.Vocabulary, dict]:
     """Train on all windows: each round takes its share of each trainer's windows, then the mean of the weights.
 
-    windows has one row per input batch; its `counts` column holds packed windows.
+    The `counts` column of windows holds packed windows, `AT_ONCE` a row at most.
     """
     spark = windows.sparkSession
 
@@ -223,6 +232,7 @@ def fit_attention(windows: DataFrame, size: int, scratch: Scratch, *, dim: int,
             for blob in b.column("counts").to_pylist():
                 w = _windows(blob)
                 rows += len(w)
+                w = w[:, 1:]  # each subword once
                 n += np.bincount(w[w >= 0], minlength=size)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], rows))], names=["id", "n"])
@@ -339,13 +349,14 @@ def _finish(tokens: int, words: int):
     return run
 
 
-def score_texts(docs: DataFrame, *, tokenizer: str | None = None, dim: int = DIM, rounds: int = ROUNDS, rate: float = RATE, frequent: int = FREQUENT, shard_mb: float = SHARD_MB, windows_each: int = WINDOWS_EACH, least_windows: int = LEAST_WINDOWS) -> DataFrame:
+def score_texts(docs: DataFrame, *, tokenizer: str | None = None, dim: int = DIM, rounds: int = ROUNDS, rate: float = RATE, frequent: int = FREQUENT, shard_mb: float = SHARD_MB, windows_each: int = WINDOWS_EACH, least_windows: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     Scores are log10 probabilities of the whole text. Null and empty texts are one token,
     the end. A null doc_id is not held out, so it trains; repeated rows train and are
     scored each. Without training rows the base knows no token and the model is uniform.
-    No rows: none back. Columns other than doc_id and text are not read.
+    No rows: none back. Columns other than doc_id and text are not read. `least_windows`
+    has no effect: all windows are trained on.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
@@ -354,9 +365,8 @@ def score_texts(docs: DataFrame, *, tokenizer: str | None = None, dim: int = DIM
     rows = docs.select("doc_id", "text", held.alias("held_out"))
     shards = shards_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, shard_mb * (1 << 20))
     small_batches(spark)
-    train = rows.where(~F.col("held_out")).select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("seed"))
-    each = shards_for(least_windows, max(1, train.count()))
-    got = scratch.keep(train.mapInArrow(_count(path, shards, each), COUNTED), "counted")
+    train = rows.where(~F.col("held_out")).select("text")
+    got = scratch.keep(train.mapInArrow(_count(path, shards), COUNTED), "counted")
     summed = got.where("kind = 0").select("shard", "hashes", "counts").repartition(shards, "shard").groupBy("shard").applyInArrow(_sum, "shard int, hashes binary, counts binary, words long, tokens long")
     summed = scratch.keep(summed, "summed")
     words, tokens = (x or 0 for x in summed.agg(F.sum("words"), F.sum("tokens")).first())

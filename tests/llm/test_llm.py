@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +207,20 @@ def test_language_model_base(spark, docs, empty, wide):
     assert language_model.score_texts(empty, **small).count() == 0
 
 
+def test_language_model_trains_on_all_text():
+    """Every subword of every training text is predicted once, however long the text is."""
+    path = packing.default_tokenizer()
+    texts = [" ".join(f"w{i}" for i in range(9000)), None, "one"]
+    out = list(language_model._count(path, 1)(iter([pa.RecordBatch.from_pydict({"text": texts})])))
+    blobs = [x for b in out for k, x in zip(b.column("kind").to_pylist(), b.column("counts").to_pylist(), strict=True) if k == 1]
+    got = np.concatenate([language_model._windows(x) for x in blobs])
+    lex = language_model.lexicon(path)
+    want = np.concatenate([lex.ids(lex.numbers(t)) for t in texts])
+    goals, before = got[:, 1:].ravel(), got[:, :-1].ravel()
+    assert goals[goals >= 0].tolist() == want.tolist()
+    assert before[goals >= 0].tolist() == [-1, *want[:-4].tolist(), -1, -1, want[-2]]
+
+
 def test_attention_windows_and_gradient():
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 9, 40)
