@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Tokens of a window, and how many of them are context only.
-WINDOW, CONTEXT = 16, 4
+WINDOW, CONTEXT = 32, 8
 
 
 class Vocabulary:
@@ -197,7 +197,8 @@ def gradient(v: Vocabulary, w: dict[str, np.ndarray], part: np.ndarray) -> dict[
     rows = np.where(ids == -2, v.seen + 1, _rows(v, np.maximum(ids, -1)))
     dim = w["emb"].shape[1]
     x = w["emb"][rows]
-    q, k, val = x @ w["q"] / np.sqrt(dim), x @ w["k"], x @ w["v"]
+    root = float(np.sqrt(dim))  # a NumPy scalar would make all that follows double
+    q, k, val = x @ w["q"] / root, x @ w["k"], x @ w["v"]
     a, c = _attend(q, k, val, w["far"])
     h = x + c
     live = goal >= 0
@@ -234,11 +235,14 @@ def gradient(v: Vocabulary, w: dict[str, np.ndarray], part: np.ndarray) -> dict[
     lag = _LAG[: ids.shape[1], : ids.shape[1]]
     both = ds.sum(axis=0)
     np.add.at(far, lag[lag >= 0], both[lag >= 0])
-    dq, dk = ds @ k / np.sqrt(dim), ds.transpose(0, 2, 1) @ q
+    dq, dk = ds @ k / root, ds.transpose(0, 2, 1) @ q
     flat = lambda t: t.reshape(-1, dim)
     g["q"], g["k"], g["v"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dval)
     dx = dh + dq @ w["q"].T + dk @ w["k"].T + dval @ w["v"].T
     emb = np.zeros_like(w["emb"])
-    np.add.at(emb, rows.ravel(), flat(dx))
+    order = np.argsort(rows.ravel(), kind="stable")
+    line = rows.ravel()[order]
+    begin = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+    emb[line[begin]] = np.add.reduceat(flat(dx)[order], begin, axis=0)
     g["emb"], g["far"] = emb, far.astype(np.float32)
     return {k: x.astype(np.float32) for k, x in g.items()}

@@ -6,8 +6,8 @@ What is learnt from the corpus:
   64-bit hash and hands them on packed, by range of the hash; each shard sums its own.
 * all subwords of every training document, for the attention model: texts are cut into
   consecutive windows in which each subword is predicted once. In each of a few rounds
-  (`rounds`) trainers pass over their shares of the windows from the same weights, which
-  are then averaged in a tree. The number of trainers follows the number of windows. The
+  (`rounds`) trainers pass over all their windows from the same weights, which are then
+  averaged in a tree. The number of trainers follows the number of windows. The
   subword vocabulary is counted on all these windows.
 
 Scoring passes over the documents once, in place. Words whose training count is at least
@@ -34,11 +34,11 @@ from . import attention
 from .common import Scratch, shards_for, small_batches
 from .packing import Encoder, default_tokenizer
 
-DIM, ROUNDS, RATE = 24, 2, 0.02
+DIM, ROUNDS, RATE = 24, 3, 0.02
 #: Bound on the number of words whose counts are broadcast.
 FREQUENT = 2_000_000
 #: Text that one shard of the word counts stands for, and windows of one trainer.
-SHARD_MB, WINDOWS_EACH = 16, 40_000
+SHARD_MB, WINDOWS_EACH = 16, 30_000
 #: Windows of one row on their way to the trainers.
 AT_ONCE = 2000
 END_HASH = xxh64_intdigest(b"", 29)
@@ -196,13 +196,13 @@ def _windows(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.int32).reshape(-1, attention.WINDOW + 1)
 
 
-def _learn(sent, rate: float, turn: int, turns: int):
-    """One trainer's pass over this turn's share of its windows."""
+def _learn(sent, rate: float, seed: int):
+    """One trainer's pass over all its windows."""
 
     def run(table: pa.Table) -> pa.Table:
         v, w = sent.value
-        mine = np.concatenate([_windows(x) for x in sorted(table.column("counts").to_pylist())])[turn::turns]
-        w = attention.train(v, w, mine, rate=rate, seed=turn)
+        mine = np.concatenate([_windows(x) for x in sorted(table.column("counts").to_pylist())])
+        w = attention.train(v, w, mine, rate=rate, seed=seed)
         return pa.table([pa.array([table.column("trainer")[0].as_py()], pa.int32()), pa.array([len(mine)], pa.int64()), pa.array([pickle.dumps(w)], pa.binary())], names=["trainer", "n", "weights"])
 
     return run
@@ -220,7 +220,7 @@ def _mean(table: pa.Table) -> pa.Table:
 
 
 def fit_attention(windows: DataFrame, size: int, scratch: Scratch, *, dim: int, rounds: int, rate: float, windows_each: int) -> tuple[attention.Vocabulary, dict]:
-    """Train on all windows: each round takes its share of each trainer's windows, then the mean of the weights.
+    """Train on all windows: rounds of one pass by each trainer, then the mean of the weights.
 
     The `counts` column of windows holds packed windows, `AT_ONCE` a row at most.
     """
@@ -247,13 +247,13 @@ def fit_attention(windows: DataFrame, size: int, scratch: Scratch, *, dim: int,
             counts[r.id] = r.n
     v = attention.Vocabulary(counts)
     w = attention.start(v, dim)
-    trainers = shards_for(rows, windows_each * rounds)
+    trainers = shards_for(rows, windows_each)
     dealt = scratch.keep(windows.select("counts", F.pmod(F.xxhash64("counts"), F.lit(trainers)).cast("int").alias("trainer")).repartition(trainers, "trainer"), "dealt") if rows else None
     for i in range(rounds if rows else 0):
         sent = spark.sparkContext.broadcast((v, w))
 
         kind = "trainer int, n long, weights binary"
-        left, part = trainers, dealt.groupBy("trainer").applyInArrow(_learn(sent, rate / (1 + i), i, rounds), kind)
+        left, part = trainers, dealt.groupBy("trainer").applyInArrow(_learn(sent, rate / (1 + i), i), kind)
         while left > 1:
             left = -(-left // 16)
             part = part.withColumn("trainer", F.col("trainer") % left).groupBy("trainer").applyInArrow(_mean, kind)

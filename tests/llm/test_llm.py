@@ -221,6 +221,18 @@ def test_language_model_trains_on_all_text():
     assert before[goals >= 0].tolist() == [-1, *want[:-4].tolist(), -1, -1, want[-2]]
 
 
+def test_language_model_rounds_see_all_windows(spark):
+    """A round's trainer takes all its windows; a scored subword sees 8 others at least, inside a text."""
+    v = attention.Vocabulary(np.arange(20, 0, -1))
+    w = attention.start(v, 4)
+    windows = np.random.default_rng(2).integers(0, 20, (50, attention.WINDOW + 1)).astype(np.int32)
+    table = pa.table({"trainer": [0, 0], "counts": [windows[:20].tobytes(), windows[20:].tobytes()]})
+    for i in range(language_model.ROUNDS):
+        got = language_model._learn(spark.sparkContext.broadcast((v, w)), 0.01, i)(table)
+        assert got.column("n")[0].as_py() == 50
+    assert language_model.ROUNDS >= 3 and attention.CONTEXT >= 8 and attention.WINDOW >= 32
+
+
 def test_attention_windows_and_gradient():
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 9, 40)
