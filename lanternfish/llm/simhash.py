@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from .common import Scratch, components, small_batches
@@ -27,6 +28,8 @@ from .common import Scratch, components, small_batches
 RADIUS = 3
 N_PIVOTS = 24
 TABLES = 16
+#: Column of each row's node, while one of each component is chosen.
+NODE = "_lanternfish_node"
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -205,12 +208,33 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, radius: int = RADIUS) -> DataFrame:
-    """Of each component the row with the smallest doc_id (then text); all columns stay."""
-    got = near_duplicates(docs, radius=radius)
-    kept = got.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f")).distinct()
-    best = Window.partitionBy("doc_id").orderBy("text")
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_d"])).withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    return rows.select(*[docs[c] for c in docs.columns])
+    """Of each component the row with the smallest doc_id (null last, then text); all columns stay."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "keep")
+    small_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield b.append_column(NODE, pa.array(fp))
+
+    rows = scratch.keep(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(NODE, T.LongType())])), "rows")
+    reps = scratch.keep(rows.select(F.col(NODE).alias("fp")).distinct(), "reps")
+    small_batches(spark, 1 << 16)
+    edges = scratch.keep(links(reps, radius), "edges")
+    small_batches(spark)
+    return one_each(rows, scratch.keep(components(edges, scratch), "labels")).select(docs.columns)
+
+
+def one_each(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """One of the rows of each component: the smallest doc_id (null last), then text.
+
+    rows carry their node in the column NODE; nodes without a label are alone.
+    """
+    root = F.coalesce("_label", NODE)
+    best = Window.partitionBy(root).orderBy(F.col("doc_id").asc_nulls_last(), "text")
+    to = label.select(F.col("node").alias("_at"), F.col("label").alias("_label"))
+    return rows.join(to, F.col(NODE) == F.col("_at"), "left").withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "_at", "_label")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

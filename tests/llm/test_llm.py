@@ -167,6 +167,15 @@ def test_simhash(spark, docs, empty, wide):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(want_id for _, want_id in want))
 
 
+def test_keep_one_of_null_and_shared_ids(spark):
+    """Rows are told apart by their texts, so unrelated ones without an id or with the same id all stay."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (3, d), (7, e), (None, e), (None, None), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = Counter((r.doc_id, r.text) for r in simhash.keep_one(df).collect())
+    assert got == Counter([(None, a), (None, b), (7, c), (3, d), (7, e), (9, "")])
+
+
 def test_simhash_buckets_lose_no_link(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**64, 60, dtype=np.uint64)
