@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lanternfish.llm import attention, caps, language_model, mixing, neighbours, packing, passages, quality, simhash, token_counts, warc
+from lanternfish.llm import attention, caps, language_model, mixing, near_copies, neighbours, packing, passages, quality, simhash, token_counts, warc
 from lanternfish.llm.common import Scratch, components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -193,6 +193,34 @@ def test_simhash_buckets_lose_no_link(spark):
     assert len(set(zip(label, want, strict=True))) == len(set(label)) == len(set(want))
 
 
+def test_near_copies(spark):
+    """Components of 5-word Jaccard 0.8, planted copies with edited words and a crowded bucket included."""
+    rng = np.random.default_rng(9)
+    texts = [None, "", "one", "One ", "a b c d e"]
+    for i in range(12):
+        base = [f"t{i}x{j}" for j in range(150)]
+        texts.append(" ".join(base))
+        for n in (1, 2, 3, 4, 6):
+            copy = list(base)
+            for at in rng.choice(150, n, replace=False):
+                copy[at] = "edited"
+            texts.append(" ".join(copy))
+    base = [f"b{j}" for j in range(200)]
+    texts += [" ".join([*base[: 150 + 3 * k], f"end{k}"]) for k in range(17)]
+    sets = [set(near_copies.shingles(t)[1].tolist()) for t in texts]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    near = [[j for j, b in enumerate(sets) if alike(a, b)] for a in sets]
+    want = brute_components(list(range(len(texts))), near)
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(None, texts[8], None, None, None), (None, "z y", None, None, None)], DOCS)
+    got = near_copies.keep_one(df)
+    assert got.columns == df.columns
+    kept = [r.doc_id for r in got.collect()]
+    assert kept.count(None) == 1 and {i for i in kept if i is not None} == set(want) and len(kept) == len(set(want)) + 1
+    far = [i for i in range(len(texts)) for j in near[i] if (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 3]
+    assert far, "the planted copies lie beyond op3's radius"
+    assert near_copies.keep_one(df.limit(0)).count() == 0
+
+
 # --- 4 language model
 
 
