@@ -9,7 +9,7 @@ join on (table, bucket); tasks keep the best of each query in what they see; the
 candidates of all tables are merged, with exact distances in double precision.
 
 The projections' spread is fitted on a bounded sample (`sample`); every row is indexed.
-Equal vectors are one class that keeps its `top` + 1 smallest ids, so a vector that is
+Equal vectors are one class that keeps its `top` + 1 smallest distinct ids, so a vector that is
 very common costs one row; crowded buckets are split by a salt. A query that its buckets
 give too few rows is answered from all rows instead, in blocks of queries.
 
@@ -35,25 +35,26 @@ PER_BLOCK = 4096
 
 
 def classes(base: DataFrame, keep: int, scratch: Scratch) -> DataFrame:
-    """(class_id, embedding, ids): distinct vectors with their `keep` smallest ids.
+    """(class_id, embedding, ids): distinct vectors with their `keep` smallest distinct ids.
 
     Each task first keeps that many of each vector it sees, so a group below has at most
     `keep` ids from each input partition.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list[int]] = {}
+        held: dict[bytes, set[int]] = {}
 
         def out() -> pa.RecordBatch:
             vec = pa.array([np.frombuffer(k, np.float32) for k in held], pa.list_(pa.float32()))
-            return pa.RecordBatch.from_arrays([vec, pa.array(list(held.values()), pa.list_(pa.int64()))], names=["embedding", "ids"])
+            return pa.RecordBatch.from_arrays([vec, pa.array([list(ids) for ids in held.values()], pa.list_(pa.int64()))], names=["embedding", "ids"])
 
         for b in batches:
             for i, v in zip(b.column("vec_id").to_pylist(), b.column("embedding"), strict=True):
-                ids = held.setdefault(v.values.to_numpy().tobytes(), [])
-                ids.append(i)
+                key = v.values.to_numpy().tobytes()
+                ids = held.setdefault(key, set())
+                ids.add(i)
                 if len(ids) > 4 * keep:
-                    ids[:] = sorted(ids)[:keep]
+                    held[key] = set(sorted(ids)[:keep])
             if len(held) > 20_000:
                 yield out()
                 held = {}
@@ -61,7 +62,7 @@ def classes(base: DataFrame, keep: int, scratch: Scratch) -> DataFrame:
             yield out()
 
     part = base.select("vec_id", "embedding").mapInArrow(first, "embedding array<float>, ids array<long>")
-    ids = F.slice(F.array_sort(F.flatten(F.collect_list(F.slice(F.array_sort("ids"), 1, keep)))), 1, keep)
+    ids = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.slice(F.array_sort(F.array_distinct("ids")), 1, keep))))), 1, keep)
     return scratch.keep(part.groupBy("embedding").agg(ids.alias("ids")).withColumn("class_id", F.col("ids")[0]).withColumn("dim", F.size("embedding")), "classes")
 
 

@@ -470,6 +470,19 @@ def test_neighbours(spark, vectors):
     assert neighbours.search(vectors.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    """Rows that repeat take one place: all exact copies of a query come before other vectors."""
+    rng = np.random.default_rng(6)
+    far = [(100 + i, [float(x) for x in rng.standard_normal(4)]) for i in range(1, 16)]
+    one = [1.0, 0.0, 0.0, 0.0]
+    rows = [(0, one)] * 50 + [(i, one) for i in range(1, 8)] * 2 + far * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    unit = {i: np.array(v, np.float32).astype(float) for i, v in rows}
+    want = sorted((float(np.sqrt(((x - unit[0]) ** 2).sum())), i) for i, x in unit.items() if i)[:10]
+    got = neighbours.search(df, every=1000).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [i for _, i in want] and [r.score for r in got[:7]] == [0.0] * 7
+
+
 def test_neighbours_without_luck(spark, vectors):
     """With one narrow probe most queries lack rows and are answered from all of them."""
     got = neighbours.search(vectors, every=20, tables=1, probes=1, width=0.2).groupBy("query_id").count().collect()
