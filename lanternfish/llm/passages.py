@@ -15,7 +15,8 @@ document with a smaller doc_id.
    are compiled, a bounded number at a time, into Aho-Corasick automata, and all
    documents of the bundle are streamed through each to locate every occurrence.
 
-Words are compared through 64-bit hashes between bundles and as words inside a bundle.
+Which windows recur is decided by 64-bit hashes, between bundles and inside one, without a
+second look at the words; phrases are then located by their words.
 """
 
 from __future__ import annotations
