@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,14 +17,29 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; a session on one machine may do without the setting."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lanternfish-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the actions inside; the caller's come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Tables of one operator call, written in the shared folder.
 
@@ -35,9 +53,15 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def action(self, rows: int = 1000, mb: int = 8):
+        """Settings of one action: Arrow batches bounded by rows and bytes, shuffle files gone when it ends."""
+        arrow = "spark.sql.execution.arrow.max"
+        return settings(self.spark, {f"{arrow}RecordsPerBatch": str(rows), f"{arrow}BytesPerBatch": str(mb << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+    def keep(self, df: DataFrame, name: str, *, rows: int = 1000, mb: int = 8) -> DataFrame:
         """Write df and read it back."""
-        df.write.option("compression", "zstd").parquet(self.path(name))
+        with self.action(rows, mb):
+            df.write.option("compression", "zstd").parquet(self.path(name))
         fields = [T.StructField(f.name, f.dataType, True) for f in df.schema.fields]
         return self.spark.read.schema(T.StructType(fields)).parquet(self.path(name))
 
@@ -49,10 +73,11 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 8) -> None:
-    """Bound an Arrow batch by bytes as well as rows: texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches cut to a few rows each, for results that run under the caller's settings."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def shards_for(n: float, each: float, least: int = 1) -> int:
@@ -60,15 +85,15 @@ def shards_for(n: float, each: float, least: int = 1) -> int:
     return max(least, int(-(-n // each)))
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 500) -> DataFrame:
     """(node, label) for every node of the edges (u, v): label is the component's least node.
 
     Alternates large-star and small-star steps, each one aggregation and one join on the
     same key; every round is written, so nothing is gathered in one place and a lost
     executor costs one round. Stars are stable, so the loop ends when a round changes
-    nothing. Nodes without an edge to another node don't appear.
+    nothing; more rounds than `rounds` are an error, never a result. Rows with a null end
+    are no edges. Nodes without an edge to another node don't appear.
     """
-    spark = edges.sparkSession
     cur = scratch.keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc0")
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
     seen = mark(cur)
@@ -88,5 +113,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = cur.select(F.col("v").alias("node")).distinct()
     return cur.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots.select("node", F.col("node").alias("label")))

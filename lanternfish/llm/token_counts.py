@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches
+from .common import pieces_of
 
 START = "▁"
 #: A character without a piece falls back to its bytes, at this much below the least score.
@@ -101,11 +101,10 @@ def count_tokens(docs: DataFrame, *, vocabulary_path: str | None = None, nodes:
     not read. Of segmentations that are equally likely the one with fewer tokens counts.
     """
     path = vocabulary_path or default_vocabulary()
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(vocabulary(path), nodes)
-        for b in batches:
+        for b in pieces_of(batches):
             words, tokens, scores = [], [], []
             for text in b.column("text").to_pylist():
                 found = [trie[w] for w in (text or "").encode("utf-8", "replace").split()]
