@@ -51,10 +51,10 @@ def source_targets(sizes: DataFrame, source: str, weights: tuple, share: float,
     return src.select(source, "source_size", "source_rows", target.alias("target"))
 
 
-def _fold(seed: int) -> str:
-    """One block: pair the carried document with the next until all but one are whole."""
-    item = "struct<neg:bigint,h:bigint,id:bigint,size:bigint,f:double>"
-    whole = "struct<size:bigint,id:bigint,up:int>"
+def _fold(seed: int, kind: str) -> str:
+    """One block: pair the carried document with the next until all but one are whole; kind: type of an id."""
+    item = f"struct<neg:bigint,h:bigint,id:{kind},size:bigint,f:double>"
+    whole = f"struct<size:bigint,id:{kind},up:int>"
     room = "least(s.c.size * (1 - s.c.f), x.size * x.f)"
     back = "least(x.size * (1 - x.f), s.c.size * s.c.f)"
     draw = f"(pmod(xxhash64(s.c.h, x.h, {seed}), 1073741824) / 1073741824D)"
@@ -73,13 +73,13 @@ def _fold(seed: int) -> str:
     return f"aggregate(items, {start}, (s, x) -> if(s.c is null, {first}, {step}))"
 
 
-def _close() -> str:
+def _close(kind: str) -> str:
     """The root of a source's tree: its last fractional document goes to the nearer side.
 
     The words this adds or takes are made good, largest first, by documents of the root
     block that fit into them, so that the source ends near its target.
     """
-    whole = "struct<size:bigint,id:bigint,up:int>"
+    whole = f"struct<size:bigint,id:{kind},up:int>"
     last = "named_struct('size', c.size, 'id', c.id, 'up', cast(c.f >= 0.5 as int))"
     lack = "if(c is null, 0D, (c.f - cast(c.f >= 0.5 as int)) * c.size)"
     flip = "((x.up = 0 and x.size <= s.d) or (x.up = 1 and x.size <= -s.d))"
@@ -89,10 +89,12 @@ def _close() -> str:
 
 
 def copies(sizes: DataFrame, scratch: Scratch, *, source: str = "source", weights: tuple = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 64, seed: int = 17) -> DataFrame:
-    """(row_id, copies, source_size, target) for each row of sizes (row_id long, source, size long).
+    """(row_id, size, source, copies, source_size, target) for each row of sizes (row_id, source, size long).
 
-    row_id must be unique. Rows of size 0, and sources of size 0, get the whole part only.
+    row_id, of any type that can be compared, must be unique among the rows of a source and
+    size. Rows of size 0, and sources of size 0, get the whole part only.
     """
+    kind = sizes.schema["row_id"].dataType.simpleString()
     src = scratch.keep(source_targets(sizes, source, weights, share, cap), "sources")
     p = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = sizes.withColumnRenamed(source, "_s").join(src, F.col("_s").eqNullSafe(F.col(source)), "left").withColumn("p", p)
@@ -100,61 +102,57 @@ def copies(sizes: DataFrame, scratch: Scratch, *, source: str = "source", weight
     rows = scratch.keep(rows.select("row_id", "size", source, "source_rows", "source_size", "target", "base", "f"), "rows")
     live = rows.where((F.col("f") > EPS) & (F.col("size") > 0)).select(F.col("row_id").alias("id"), "size", "f", source, F.ceil(F.col("source_rows") / block).alias("blocks"))
     most = src.agg(F.max("source_rows")).first()[0] or 0
-    ups: Column | DataFrame | None = None
+    ups: DataFrame | None = None
     level = 0
     while True:
-        dealt = live.select(source, "blocks", F.pmod(F.xxhash64(F.lit(seed + level), "id"), F.col("blocks")).alias("block"), F.struct((-F.col("size")).alias("neg"), F.xxhash64(F.lit(seed), "id").alias("h"), "id", "size", "f").alias("item"))
-        folded = dealt.groupBy(source, "blocks", "block").agg(F.sort_array(F.collect_list("item")).alias("items")).select(source, "blocks", F.expr(_fold(seed + level)).alias("r"))
+        dealt = live.select(source, "blocks", F.pmod(F.xxhash64(F.lit(seed + level), "id", "size"), F.col("blocks")).alias("block"), F.struct((-F.col("size")).alias("neg"), F.xxhash64(F.lit(seed), "id", "size").alias("h"), "id", "size", "f").alias("item"))
+        folded = dealt.groupBy(source, "blocks", "block").agg(F.sort_array(F.collect_list("item")).alias("items")).select(source, "blocks", F.expr(_fold(seed + level, kind)).alias("r"))
         folded = scratch.keep(folded.select(source, "blocks", "r.c", "r.o"), f"level{level}")
-        done = folded.select(F.explode(F.when(F.col("blocks") <= 1, F.expr(_close())).otherwise(F.col("o"))).alias("w")).select("w.id", "w.up")
+        done = folded.select(F.col(source).alias("_s"), F.explode(F.when(F.col("blocks") <= 1, F.expr(_close(kind))).otherwise(F.col("o"))).alias("w")).select("_s", "w.id", F.col("w.size").alias("_n"), "w.up")
         ups = done if ups is None else ups.union(done)
         most = math.ceil(most / block)
         if most <= 1:
             break
         live = folded.where((F.col("blocks") > 1) & F.col("c").isNotNull()).select("c.id", "c.size", "c.f", source, F.ceil(F.col("blocks") / block).alias("blocks"))
         level += 1
-    return rows.join(ups.withColumnRenamed("id", "row_id"), "row_id", "left").select("row_id", "size", source, (F.col("base") + F.coalesce("up", F.lit(0))).alias("copies"), "source_size", "target")
+    same = (F.col("row_id") == F.col("id")) & (F.col("size") == F.col("_n")) & F.col(source).eqNullSafe(F.col("_s"))
+    return rows.join(ups, same, "left").select("row_id", "size", source, (F.col("base") + F.coalesce("up", F.lit(0))).alias("copies"), "source_size", "target")
 
 
-def numbered(docs: DataFrame, scratch: Scratch, text: str, source: str, extra: list[str]) -> DataFrame:
-    """Sizes with a row_id that depends on the rows alone, not on how they are dealt.
-
-    Equal (key, source, size) rows are counted and numbered: they are alike for the
-    mix, and a run with other partitions numbers them alike.
-    """
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    alike = docs.select(*extra, F.col(source).alias("source"), size.alias("size")).groupBy(*extra, "source", "size").count()
-    each = alike.select(*extra, "source", "size", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("rep"))
-    return scratch.keep(each.withColumn("row_id", F.xxhash64(*extra, "source", "size", "rep")), "sizes")
+def words_of(text: Column) -> Column:
+    """Number of words of a text; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", **params) -> DataFrame:
     """(key, source, size, rep, copies, source_size, target), one row per row of docs.
 
-    rep numbers rows that agree in key, source and size. Nulls: a null text has size 0
-    and no copies beyond the whole part; a null source is a source of its own, last in
-    order; a null key is a key like others. No rows: none back. Other columns are not read.
+    rep numbers rows that agree in key, source and size: they are alike for the mix, so a
+    run over other partitions gives the same rows. Nulls: a null text has size 0 and no
+    copies beyond the whole part, as an empty one; a null source is a source of its own,
+    last in order; a null key is a key like others. No rows: none back. Other columns are
+    not read.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    sizes = numbered(docs.select(F.col(key).alias("_key"), text, F.col(source)), scratch, text, source, ["_key"])
-    got = copies(sizes.select("row_id", "source", "size"), scratch, **params)
-    # the hash that numbers rows is 64 bits wide; size and source in the join keep a clash harmless
-    got = got.select("row_id", F.col("source").alias("_s"), F.col("size").alias("_n"), "copies", "source_size", "target")
-    same = (sizes["row_id"] == got["row_id"]) & (sizes["size"] == got["_n"]) & sizes["source"].eqNullSafe(got["_s"])
-    out = sizes.join(got, same, "left")
-    return out.select(F.col("_key").alias(key), "source", "size", "rep", "copies", "source_size", "target")
+    alike = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words_of(F.col(text)).alias("size")).groupBy("key", "source", "size").count()
+    each = alike.select("key", "source", "size", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("rep"))
+    sizes = scratch.keep(each.select(F.struct("key", "rep").alias("row_id"), "source", "size"), "sizes")
+    got = copies(sizes, scratch, **params)
+    return got.select(F.col("row_id.key").alias(key), "source", "size", F.col("row_id.rep").alias("rep"), "copies", "source_size", "target")
 
 
 def repeat(docs: DataFrame, **params) -> DataFrame:
-    """docs with every row given as often as the mix takes it; the columns stay."""
-    columns = docs.columns
+    """docs with every row given as often as the mix takes it; the columns stay, whatever their names.
+
+    Rows that agree in doc_id, source and size take their numbers in order of text. Null and
+    empty texts, null keys and sources are handled as by mix().
+    """
     plan = mix(docs.select("doc_id", "text", "source"), **params).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("rep").alias("_r"), "copies")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    alike = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
-    rows = docs.withColumn("_size", size).withColumn("_rep", F.row_number().over(alike))
-    on = rows["doc_id"].eqNullSafe(plan["_d"]) & rows["source"].eqNullSafe(plan["_s"]) & (rows["_size"] == plan["_n"]) & (rows["_rep"] == plan["_r"])
-    many = rows.join(plan, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return many.select(*[docs[c] for c in columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("d"), F.col("source").alias("s"), words_of(F.col("text")).alias("n"))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("d", "s", "n").orderBy("row.text")))
+    on = F.col("d").eqNullSafe(F.col("_d")) & F.col("s").eqNullSafe(F.col("_s")) & (F.col("n") == F.col("_n")) & (F.col("r") == F.col("_r"))
+    many = rows.join(plan, on).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return many.select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
