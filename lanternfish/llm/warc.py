@@ -7,12 +7,15 @@ records; the choice is an aggregate over digests, so page texts are not shuffled
 the duplicate digests are too many for a broadcast of checked size.
 
 Reading. Spark's text reader cuts the bytes of the archives at the version line, split by
-split. Payloads can hold that line too, so every cut is only a candidate: each task emits,
-for every candidate of its split, the offset of the successor that the record's length
-implies, and where the chain from it leaves the split. Pointer jumping over these exits,
-from the start of each file, finds the candidate at which the true chain enters each
-split (log2 of a file's splits in rounds); a walk within each split then keeps the
-reachable records only. A record whose payload was cut is put together from its parts.
+split. Payloads can hold that line too, so every cut is only a candidate. A split's bytes
+are divided into parts of about a megabyte; each task emits, for every candidate, the
+offset of the successor that the record's length implies, and where the chain from it
+leaves its part. Pointer jumping over these exits, from the start of each file, finds the
+candidate at which the true chain enters each part (log2 of a file's parts in rounds).
+Within a part chains only merge, so they form trees; a candidate carries its interval in
+the tree's order, and those on the chain are the ones whose interval holds the entry: a
+join, no walk. A record whose payload was cut is put together from its pieces. Gzipped
+archives are one split a file, but have as many parts as plain ones.
 """
 
 from __future__ import annotations
@@ -20,17 +23,18 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from .common import Scratch
 
 VERSION = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
 LEAST_BYTES = 1000
 DATE = "1970-01-01T00:00:00Z"
+#: Bytes of a part of a split.
+PART = 1 << 20
 
 
 def revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
@@ -110,7 +114,19 @@ def _payload(fields: dict[bytes, bytes], block: bytes) -> tuple[int, str, str, i
     return size, digest, kind, _page(fields.get(b"warc-record-id")), _page(fields.get(b"warc-refers-to"))
 
 
-CANDIDATE = "file string, split long, off long, succ long, leaves long, split_bytes long, payload_bytes long, payload_digest string, record_type string, page_id long, refers_to long"
+PAYLOAD = "payload_bytes long, payload_digest string, record_type string, page_id long, refers_to long"
+CANDIDATE = "file string, split long, part int, off long, succ long, leaves long, low int, high int, split_bytes long, " + PAYLOAD
+RECORD = "file string, off long, succ long, " + PAYLOAD
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+
+
+def _names(ddl: str) -> list[str]:
+    return [x.split()[0] for x in ddl.split(", ")]
+
+
+def _table(ddl: str, rows: list) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [()] * len(_names(ddl))
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[x.split()[1]]) for c, x in zip(cols, ddl.split(", "), strict=True)], names=_names(ddl))
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, bool, bytes]]:
@@ -126,63 +142,79 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int
             offset += len(value) + len(VERSION) * cut
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every candidate of every split, with its successor and where its chain leaves the split."""
+def chain_order(off: list[int], succ: list[int], part: list[int], size: int) -> tuple[list, list[int], list[int]]:
+    """(leaves, low, high) of the candidates of one split, which come in order of offset.
 
-    def closed(rows: list[list], size: int) -> pa.RecordBatch:
-        leaves: dict[int, int | None] = {}
-        for r in reversed(rows):
-            succ = r[3]
+    leaves: where the chain first meets another part or split, None if it breaks before.
+    low, high: candidate c is on the chain from e, in one part, just if low[c] <= low[e] < high[c].
+    """
+    at = {o: i for i, o in enumerate(off)}
+    n = len(off)
+    leaves, up, weight = [None] * n, [-1] * n, [1] * n
+    for i in range(n - 1, -1, -1):
+        j = at.get(succ[i])
+        if succ[i] >= size or (j is not None and part[j] != part[i]):
+            leaves[i] = succ[i]
+        elif j is not None:
             # a chain that points inside the split at no candidate is broken: it leads nowhere
-            r[4] = leaves[r[2]] = succ if succ >= size else leaves.get(succ)
-            r[5] = size
-        names = [x.split()[0] for x in CANDIDATE.split(", ")]
-        kinds = [pa.string() if x.endswith("string") else pa.int64() for x in CANDIDATE.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(names), kinds, strict=True)], names=names)
-
-    # a row without offset stands for the split itself, which may have no candidate
-    start_of = lambda file, split: [[file, split, -1, -1, None, 0, *(None,) * 5]]
-    at, rows, end = None, [], 0
-    for file, split, offset, cut, value in _segments(batches):
-        if at != (file, split):
-            if at:
-                yield closed(rows, end)
-            at, rows = (file, split), start_of(file, split)
-        end = offset + len(value) + len(VERSION) * cut
-        if cut and (found := parse_head(value)):
-            fields, start = found
-            length = int(fields[b"content-length"])
-            succ = offset + len(VERSION) + start + length + 4
-            whole = _payload(fields, value[start : start + length]) if succ == end else (None,) * 5
-            rows.append([file, split, offset, succ, None, 0, *whole])
-    if at:
-        yield closed(rows, end)
-
-
-def _reachable(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """The candidates of one split on the chain from where it is entered."""
-    pdf = pdf.sort_values("off")
-    at, keep = int(pdf["entry"].iloc[0]), []
-    succ = dict(zip(pdf["off"].tolist(), pdf["succ"].tolist(), strict=True))
-    while at in succ:
-        keep.append(at)
-        at = succ[at]
-    return pdf[pdf["off"].isin(keep)].drop(columns=["entry"])
+            leaves[i], up[i] = leaves[j], j
+    for i in range(n):
+        if up[i] >= 0:
+            weight[up[i]] += weight[i]
+    low, free, roots = [0] * n, [0] * n, 0
+    for i in range(n - 1, -1, -1):
+        if up[i] < 0:
+            low[i], roots = roots, roots + weight[i]
+        else:
+            low[i], free[up[i]] = free[up[i]], free[up[i]] + weight[i]
+        free[i] = low[i] + 1
+    return leaves, low, [a + w for a, w in zip(low, weight, strict=True)]
+
+
+def _candidates(part_bytes: int):
+    """Every candidate of every split, with its successor and where its chain leaves the part."""
+
+    def closed(at: tuple, rows: list[tuple], size: int) -> pa.RecordBatch:
+        off, succ = [r[0] for r in rows], [r[1] for r in rows]
+        part = [o // part_bytes for o in off]
+        leaves, low, high = chain_order(off, succ, part, size)
+        out = [(*at, p, o, s, x, a, b, size, *r[2:]) for p, o, s, x, a, b, r in zip(part, off, succ, leaves, low, high, rows, strict=True)]
+        # a row without offset stands for the split itself, which may have no candidate
+        return _table(CANDIDATE, [(*at, 0, -1, -1, None, 0, 0, size, *(None,) * 5), *out])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, end = None, [], 0
+        for file, split, offset, cut, value in _segments(batches):
+            if at != (file, split):
+                if at:
+                    yield closed(at, rows, end)
+                at, rows = (file, split), []
+            end = offset + len(value) + len(VERSION) * cut
+            if cut and (found := parse_head(value)):
+                fields, start = found
+                length = int(fields[b"content-length"])
+                succ = offset + len(VERSION) + start + length + 4
+                whole = _payload(fields, value[start : start + length]) if succ == end else (None,) * 5
+                rows.append((offset, succ, *whole))
+        if at:
+            yield closed(at, rows, end)
+
+    return run
 
 
 def entries(cand: DataFrame, scratch: Scratch) -> DataFrame:
-    """(file, split, off): the candidate at which the true chain enters each split, offsets in the file.
+    """(file, off): the candidate at which the true chain enters each part, offsets in the file.
 
     Pointer jumping: what is reached doubles its reach each round.
     """
     jump = cand.select("file", "off", "leaves")
     targets = jump.where("leaves is not null").select("file", F.col("leaves").alias("off")).distinct()
-    # only candidates that some chain enters from another split, and the start of each file, matter
+    # only candidates that some chain enters from another part, and the start of each file, matter
     jump = jump.where("off = 0").union(jump.join(targets, ["file", "off"], "left_semi")).distinct()
     jump = scratch.keep(jump.where("leaves is not null or off = 0"), "jump0")
     reach = jump.where("off = 0").select("file", "off")
-    most = cand.groupBy("file").agg(F.count_distinct("split").alias("n")).agg(F.max("n")).first()[0] or 1
-    for i in range(max(0, (most - 1).bit_length())):
+    most = cand.groupBy("file").agg(F.count_distinct("split", "part").alias("n")).agg(F.max("n")).first()[0] or 1
+    for i in range((most - 1).bit_length()):
         further = reach.join(jump, ["file", "off"]).where("leaves is not null").select("file", F.col("leaves").alias("off"))
         reach = scratch.keep(reach.union(further).distinct(), f"reach{i}")
         to = jump.select("file", F.col("off").alias("leaves"), F.col("leaves").alias("next"))
@@ -190,15 +222,15 @@ def entries(cand: DataFrame, scratch: Scratch) -> DataFrame:
     return reach
 
 
-def read_archives(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
-    """One row per reachable record of the archives below path, see CANDIDATE's fields.
+def read_archives(spark: SparkSession, path: str, scratch: Scratch, *, part_bytes: int = PART) -> DataFrame:
+    """One row per reachable record of the archives below path: file, offset, succ, and PAYLOAD's fields.
 
     offset is the record's place in its (decompressed) file. Bytes before a file's first
-    record, or a chain that breaks, end that file's records there.
+    record, or a chain that breaks, end that file's records there. No archives or empty
+    ones: no rows.
     """
-    small_batches(spark, 200)
     lines = spark.read.option("lineSep", VERSION.decode()).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
-    local = scratch.keep(lines.mapInArrow(_candidates, CANDIDATE), "candidates")
+    local = scratch.keep(lines.mapInArrow(_candidates(part_bytes), CANDIDATE), "candidates", rows=200)
     splits = local.groupBy("file", "split").agg(F.max("split_bytes").alias("size"))
     base = splits.selectExpr("file", "split", "coalesce(sum(size) over (partition by file order by split rows between unbounded preceding and 1 preceding), 0) as base")
     base = scratch.keep(base, "base")
@@ -206,14 +238,14 @@ def read_archives(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame
     cand = cand.withColumns({c: F.col(c) + F.col("base") for c in ("off", "succ", "leaves")})
     cand = scratch.keep(cand, "chained")
     reach = entries(cand, scratch)
-    # splits are ranges of offsets: an entry's split is its candidate's
-    entry = reach.join(cand.select("file", "split", "off"), ["file", "off"]).groupBy("file", "split").agg(F.min("off").alias("entry"))
-    walked = cand.join(entry, ["file", "split"]).drop("base")
-    found = scratch.keep(walked.groupBy("file", "split").applyInPandas(_reachable, CANDIDATE), "reachable")
+    entry = reach.join(cand.select("file", "split", "part", "off", "low"), ["file", "off"]).select("file", "split", "part", F.col("low").alias("entry"))
+    true = cand.join(entry, ["file", "split", "part"]).where("low <= entry and entry < high")
+    found = scratch.keep(true.select("split", *_names(RECORD)), "reachable")
     cut = found.where("payload_digest is null")
+    whole = found.drop("split")
     if cut.head(1):
-        found = found.where("payload_digest is not null").unionByName(_joined(lines, base, cut))
-    return found.withColumnRenamed("off", "offset").drop("split", "leaves", "split_bytes")
+        whole = whole.where("payload_digest is not null").unionByName(_joined(lines, base, cut))
+    return whole.withColumnRenamed("off", "offset")
 
 
 def _joined(lines: DataFrame, base: DataFrame, cut: DataFrame) -> DataFrame:
@@ -232,19 +264,19 @@ def _joined(lines: DataFrame, base: DataFrame, cut: DataFrame) -> DataFrame:
         off, succ = table.column("off")[0].as_py(), table.column("succ")[0].as_py()
         fields, start = parse_head(record[len(VERSION) :])
         start += len(VERSION)
-        row = [table.column("file")[0].as_py(), table.column("split")[0].as_py(), off, succ, None, None, *_payload(fields, record[start : start + int(fields[b"content-length"])])]
-        return pa.table({x.split()[0]: pa.array([v], pa.string() if x.endswith("string") else pa.int64()) for x, v in zip(CANDIDATE.split(", "), row, strict=True)})
+        row = (table.column("file")[0].as_py(), off, succ, *_payload(fields, record[start : start + int(fields[b"content-length"])]))
+        return pa.Table.from_batches([_table(RECORD, [row])])
 
     pieces = lines.mapInArrow(parts, "file string, split long, at long, part binary").join(base, ["file", "split"])
     pieces = pieces.select("file", (F.col("at") + F.col("base")).alias("at"), "part")
     # a piece belongs to the records whose range it starts in; blocks of a megabyte make that an equi-join
     block = 1 << 20
-    spans = cut.select("file", "split", "off", "succ", F.explode(F.sequence(F.floor(F.col("off") / block), F.floor((F.col("succ") - 1) / block))).alias("_b"))
+    spans = cut.select("file", "off", "succ", F.explode(F.sequence(F.floor(F.col("off") / block), F.floor((F.col("succ") - 1) / block))).alias("_b"))
     inside = pieces.withColumn("_b", F.floor(F.col("at") / block)).join(spans, ["file", "_b"]).where("at >= off and at < succ")
-    return inside.select("file", "split", "off", "succ", "at", "part").groupBy("file", "off").applyInArrow(whole, CANDIDATE)
+    return inside.select("file", "off", "succ", "at", "part").groupBy("file", "off").applyInArrow(whole, RECORD)
 
 
-def archive_round_trip(pages: DataFrame, *, least_bytes: int = LEAST_BYTES, compression: str | None = "gzip") -> DataFrame:
+def archive_round_trip(pages: DataFrame, *, least_bytes: int = LEAST_BYTES, compression: str | None = "gzip", part_bytes: int = PART) -> DataFrame:
     """Write pages as archives in the shared folder and read the records back.
 
     A null html is an empty payload, a null url leaves its field out. Pages with a null
@@ -255,7 +287,7 @@ def archive_round_trip(pages: DataFrame, *, least_bytes: int = LEAST_BYTES, comp
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
     write_archives(pages, scratch.path("archives"), scratch, least_bytes=least_bytes, compression=compression)
-    out = scratch.keep(read_archives(spark, scratch.path("archives"), scratch), "records")
+    out = scratch.keep(read_archives(spark, scratch.path("archives"), scratch, part_bytes=part_bytes), "records", rows=200)
     scratch.drop("archives", "candidates", "chained", "shared", "reachable")
     return out
 
