@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from .common import Scratch
 
 CAPACITY = 1024
 END_ID = 2
@@ -99,7 +99,6 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, *, tokenizer: str | None, capacity: int, end_id: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, idx): idx counts the pieces of a length within an input partition."""
     path = tokenizer or default_tokenizer()
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen, end = encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1), end_id.to_bytes(4, "little")
@@ -192,7 +191,8 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPAC
             out = [b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*out, pa.array(s[:, 3] + nth // s[:, 2]), pa.array(s[:, 4] + nth % s[:, 2] * length)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = cut.join(offsets.drop("count"), ["part", "length"]).withColumn("rank", F.col("idx") + F.col("before"))
+    # offsets grow with the input partitions, however small their file is: never broadcast
+    ranked = cut.join(offsets.drop("count").hint("merge"), ["part", "length"]).withColumn("rank", F.col("idx") + F.col("before"))
     return ranked.drop("part", "idx", "before").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
