@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import small_batches
+from .common import Scratch, pieces_of
 
 BITS = 18
 SCALE = 12.0
@@ -112,7 +112,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, bits: in
     known = labels.where("doc_id is not null and quality is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 5) <> 0")
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    small_batches(spark)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -124,9 +123,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, bits: in
             )
 
     # picked has sample_rows rows at most, so this broadcast is bounded by that parameter
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(take, "doc_id long, label int, at binary, value binary").collect()
-    found.sort(key=lambda r: (xxh64_intdigest(str(r.doc_id), 3), bytes(r.at)))
-    return [(np.frombuffer(r.at, np.int32), np.frombuffer(r.value, np.float32).astype(float), r.label) for r in found[: 2 * sample_rows]]
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # one text a key, the least: what reaches the driver is bounded by sample_rows too
+    one = rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("label").alias("label"))
+    with Scratch(spark, "quality").action():
+        found = one.mapInArrow(take, "doc_id long, label int, at binary, value binary").collect()
+    found.sort(key=lambda r: (xxh64_intdigest(str(r.doc_id), 3), r.doc_id))
+    return [(np.frombuffer(r.at, np.int32), np.frombuffer(r.value, np.float32).astype(float), r.label) for r in found]
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 6000, bits: int = BITS, threshold: float = 0.3) -> DataFrame:
@@ -134,16 +137,16 @@ def classify(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 6000, bit
 
     Null and empty texts get the score of a document without words (the intercept's). A
     null doc_id is not held out and never trains. Rows that repeat are scored each. With
-    no usable labels every score is 0.5. Labels of one key that differ are averaged.
+    no usable labels every score is 0.5. Labels of one key that differ are averaged; of
+    texts that share a key the least trains. No rows: none back.
     Columns other than doc_id, text and labels' doc_id, quality are not read.
     """
     weights = train_ftrl(training_rows(docs, labels, sample_rows, bits), bits)
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, words = sent.value, Words()
-        for b in batches:
+        for b in pieces_of(batches):
             z = np.empty(b.num_rows)
             for i, t in enumerate(b.column("text").to_pylist()):
                 slots = features(t, words, bits)
@@ -157,15 +160,18 @@ def classify(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 6000, bit
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 6000, bits: int = BITS, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that the classifier predicts 1 for, all columns as they are."""
+    """The rows of docs that the classifier predicts 1 for, all columns as they are.
+
+    Rows are judged as by classify(): those without words get the intercept's score,
+    repeated rows stay or go together, rows without a doc_id are judged by their text.
+    """
     weights = train_ftrl(training_rows(docs, labels, sample_rows, bits), bits)
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, words = sent.value, Words()
         bar = np.log(threshold / (1 - threshold))
-        for b in batches:
+        for b in pieces_of(batches):
             good = []
             for t in b.column("text").to_pylist():
                 slots = features(t, words, bits)
