@@ -3,44 +3,49 @@
 A word is removed where a window of `window` words that covers it also starts in a
 document with a smaller doc_id.
 
-1. Documents are dealt by ranges of doc_id to bundles of bounded text, written once as a
-   table bucketed by bundle, so that no later step moves texts again. A smaller bundle
-   holds only smaller doc_ids.
-2. Each bundle hands on the hashes of its distinct windows, packed and dealt by range of
-   the hash; each shard answers, one bit a hash, whether a smaller bundle has the window
-   too. A window that is very common costs one hash a bundle.
-3. Each bundle confirms its recurring passages: runs of windows that occur in a smaller
-   bundle, or that the bundle itself has in an earlier document. Tiles of a run (windows
-   at a stride of the window length, and the last one) become the phrases; their words
-   are compiled, a bounded number at a time, into Aho-Corasick automata, and all
-   documents of the bundle are streamed through each to locate every occurrence.
-
-Which windows recur is decided by 64-bit hashes, between bundles and inside one, without a
-second look at the words; phrases are then located by their words.
+1. Documents are dealt in order of doc_id to bundles of bounded text: a smaller bundle
+   holds no larger doc_id. The borders come from the sizes of documents alone; each step
+   below deals the texts by them anew, and nothing but text, hashes and phrases moves.
+2. Each bundle hands on the 64-bit hashes of its distinct windows, packed, by range of
+   the hash. Each shard answers with two bits a hash: a smaller bundle has the window,
+   or this bundle is the first of several.
+3. Recurring passages are confirmed by their words. A bundle covers each run of windows
+   that an earlier document may have by tiles (windows at a stride of the window length,
+   and the last one) and asks for their words; a bundle that is the first to have a window
+   hands out its words, in blocks of a run, with the document that has them. The join
+   of both is the phrase table: words as the first document has them, and that document.
+4. Each bundle compiles the phrases asked for into Aho-Corasick automata, a bounded number
+   of words at a time, and streams all its documents through each: every occurrence, in a
+   document after the one that owns the phrase, is removed.
+
+Hashes only say what to ask for; what is removed equals, word by word, what the automata
+found. Two different windows with one hash remove nothing by that. (Where a window shares
+its hash with another one before it, a repeat of it may stay; of n windows before it that
+has a probability of n / 2^64.)
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import Scratch, shards_for, small_batches
+from .common import Scratch, shards_for
 
 WINDOW = 13
-BUNDLE_MB = 8
-#: Words in the phrases of one automaton.
-AUTOMATON_WORDS = 400_000
+#: Text of a bundle, and bundles whose hashes one shard holds.
+BUNDLE_MB, BUNDLES_A_SHARD = 8, 3
+#: Words in the phrases of one automaton, and windows in a block of a run.
+AUTOMATON_WORDS, BLOCK = 400_000, 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
-REMEMBER = 600_000
 
 
 class Lexicon(dict):
@@ -48,11 +53,11 @@ class Lexicon(dict):
 
     def __init__(self):
         super().__init__()
-        self.found: list[int] = []
+        self.words: list[bytes] = []
         self.table = np.zeros(0, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        self.found.append(xxh64_intdigest(word, 11))
+        self.words.append(word)
         self[word] = n = len(self)
         return n
 
@@ -61,10 +66,14 @@ class Lexicon(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def hashes(self, ids: np.ndarray) -> np.ndarray:
-        if len(self.table) < len(self.found):
-            self.table = np.concatenate([self.table, np.array(self.found[len(self.table) :], np.uint64)])
+        if len(self.table) < len(self.words):
+            fresh = [xxh64_intdigest(w, 11) for w in self.words[len(self.table) :]]
+            self.table = np.concatenate([self.table, np.array(fresh, np.uint64)])
         return self.table[ids]
 
+    def joined(self, ids: np.ndarray) -> str:
+        return b" ".join([self.words[i] for i in ids.tolist()]).decode("utf-8", "replace")
+
 
 def window_hashes(h: np.ndarray, window: int) -> np.ndarray:
     """A hash of each run of `window` words, given the words' hashes."""
@@ -103,16 +112,46 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(full.view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def bundled(docs: DataFrame, scratch: Scratch, bundle_mb: float) -> tuple[DataFrame, str, int]:
-    """docs with the number of their bundle, as a table bucketed by it; its name and bundles."""
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = shards_for(size, bundle_mb * (1 << 20))
-    name = f"lanternfish_{uuid.uuid4().hex}"
-    dealt = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_last()).withColumn("_bundle", F.spark_partition_id())
-    dealt.write.bucketBy(n, "_bundle").sortBy("_bundle").option("path", scratch.path("bundles")).option("compression", "zstd").format("parquet").saveAsTable(name)
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the texts now
-    return spark.table(name), name, n
+class Borders:
+    """Which bundle a document lies in: 8 bytes of border for each bundle.
+
+    A doc_id that fills several bundles is a border several times; its rows are dealt to
+    these by a hash of the text. Rows without a doc_id fill the last bundles.
+    """
+
+    def __init__(self, docs: DataFrame, bundle_mb: float):
+        room = bundle_mb * (1 << 20)
+        sizes = docs.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64).alias("n"))
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = 0
+            for b in batches:
+                ids, n = b.column("doc_id").to_numpy(), b.column("n").to_numpy()
+                level = (held + np.cumsum(n)) // room
+                times = np.diff(level, prepend=held // room).astype(np.int64)
+                held = held + int(n.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, times))], names=["doc_id"])
+
+        known = sizes.where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+        self.at = np.sort(np.array([r.doc_id for r in known.mapInArrow(cut, "doc_id long").collect()], np.int64))
+        nameless = sizes.where("doc_id is null").agg(F.sum("n")).first()[0] or 0
+        self.last = shards_for(nameless, room) if nameless else 0
+        self.n = len(self.at) + 1 + self.last
+
+    def deal(self, docs: DataFrame, *columns) -> DataFrame:
+        """(bundle, shared, columns): shared rows' doc_id may lie in several bundles."""
+        at, last = self.at, self.last
+
+        @F.pandas_udf("long")
+        def place(doc_id: pd.Series, missing: pd.Series, h: pd.Series) -> pd.Series:
+            ids, null, h = doc_id.to_numpy(np.int64), missing.to_numpy(bool), h.to_numpy(np.int64)
+            low, high = np.searchsorted(at, ids, "left"), np.searchsorted(at, ids, "right")
+            low, high = np.where(null, len(at) + 1, low), np.where(null, len(at) + last, high)
+            return pd.Series(2 * (low + h % (high - low + 1)) + (high > low))
+
+        to = place(F.coalesce("doc_id", F.lit(0).cast("long")), F.isnull("doc_id"), F.xxhash64("text"))
+        dealt = docs.select(*columns, to.alias("to"))
+        return dealt.select(F.floor(F.col("to") / 2).cast("int").alias("bundle"), (F.col("to") % 2 == 1).alias("shared"), *[c for c in dealt.columns if c != "to"])
 
 
 def _emit(window: int, shards: int):
@@ -126,162 +165,235 @@ def _emit(window: int, shards: int):
         h = h[_fresh(h)]
         cut = np.searchsorted(h, np.array([(s << 64) // shards for s in range(1, shards)], np.uint64))
         parts = [(s, pack_sorted(x)) for s, x in enumerate(np.split(h, cut)) if len(x)]
-        bundle = table.column("_bundle")[0].as_py()
-        return pa.table([pa.array([s for s, _ in parts], pa.int32()), pa.array([bundle] * len(parts), pa.int32()), pa.array([b for _, b in parts], pa.binary())], names=["shard", "_bundle", "blob"])
+        bundle = table.column("bundle")[0].as_py()
+        return pa.table([pa.array([s for s, _ in parts], pa.int32()), pa.array([bundle] * len(parts), pa.int32()), pa.array([b for _, b in parts], pa.binary())], names=["shard", "bundle", "blob"])
 
     return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Step 2, a shard's side: for each bundle's hashes, a bit for those in smaller bundles."""
-    table = table.sort_by("_bundle")
+    """Step 2, a shard's side: for each bundle's hashes two bits, `again`: a smaller bundle has it, `opens`: first of several."""
+    table = table.sort_by("bundle")
     lists = [unpack_sorted(b) for b in table.column("blob").to_pylist()]
     size = [len(x) for x in lists]
     h = np.concatenate(lists)
     del lists
     order = np.argsort(h, kind="stable")  # equal hashes stay in the order of bundles
-    again = np.zeros(len(h), bool)
+    same = np.zeros(len(h) + 1, bool)
     s = h[order]
-    again[order[1:]] = s[1:] == s[:-1]
-    bits = [np.packbits(x).tobytes() for x in np.split(again, np.cumsum(size)[:-1])]
-    return pa.table([table.column("_bundle"), table.column("shard"), pa.array(size, pa.int64()), pa.array(bits, pa.binary())], names=["_bundle", "shard", "n", "bits"])
+    np.equal(s[1:], s[:-1], out=same[1:-1])
+    again, opens = np.empty(len(h), bool), np.empty(len(h), bool)
+    again[order] = same[:-1]
+    opens[order] = same[1:] & ~same[:-1]
+    cut = np.cumsum(size)[:-1]
+    bits = lambda x: pa.array([np.packbits(p).tobytes() for p in np.split(x, cut)], pa.binary())
+    return pa.table([table.column("bundle"), table.column("shard"), pa.array(size, pa.int64()), bits(again), bits(opens)], names=["bundle", "shard", "n", "again", "opens"])
+
+
+ANSWER = "bundle int, shard int, n long, again binary, opens binary"
+ASK, WORD_AT, RUN, LOCAL = range(4)
+MARK = "kind int, h long, block long, at int, words string, doc_id long, bundle int"
+
+
+def ranks(ids: pa.ChunkedArray) -> np.ndarray:
+    """Dense ranks of doc_ids; rows without one come after all others."""
+    null = ids.is_null().to_numpy()
+    value = ids.fill_null(0).to_numpy()
+    known = np.unique(value[~null])
+    return np.where(null, len(known), np.searchsorted(known, value)).astype(np.int64)
+
+
+def tiles(open_: np.ndarray, window: int, every: bool) -> np.ndarray:
+    """Windows that cover all words of the runs of open windows: each run's first, every window-th, and last."""
+    at = np.flatnonzero(open_)
+    if every or not len(at):
+        return at
+    first = np.append(True, np.diff(at) > 1)
+    nth = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+    return at[(nth % window == 0) | np.append(first[1:], True)]
+
+
+def _survey(window: int, block: int):
+    """Step 3, a bundle's side: hashes whose words it asks for, words it hands out, and its own repeats."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        bundle = docs.column("bundle")[0].as_py() if docs.num_rows else 0
+        rank = ranks(docs.column("doc_id"))
+        order = np.argsort(rank, kind="stable")
+        lex = Lexicon()
+        texts, ids, shared = (docs.column(c).to_pylist() for c in ("text", "doc_id", "shared"))
+        numbers = [lex.numbers(texts[i]) for i in order.tolist()]
+        hashed = [window_hashes(lex.hashes(x), window) for x in numbers]
+        rank = rank[order]
+        size = np.array([len(x) for x in hashed], np.int64)
+        begin = np.cumsum(size) - size
+        h = np.concatenate([*hashed, np.zeros(0, np.uint64)])
+        del hashed
+        # documents lie in order of rank, so the first of equal hashes is the first document's
+        by = np.argsort(h, kind="stable")
+        start = np.flatnonzero(_fresh(h[by]))
+        first = by[start]
+        told = sorted(zip(*(answers.column(c).to_pylist() for c in ("shard", "again", "opens", "n")), strict=True))
+        flag = lambda k: np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(x[k], np.uint8), count=x[3]).astype(bool) for x in told)])
+        again, opens = flag(1), flag(2)
+        if len(start) != len(again):
+            raise RuntimeError(f"{len(start)} distinct windows, {len(again)} answers")
+        group = np.empty(len(h), np.int64)
+        group[by] = np.repeat(np.arange(len(start)), np.diff(start, append=len(h)))
+        who = np.repeat(np.arange(len(size)), size)
+        outside = again[group]
+        open_ = outside | (rank[who[first]][group] < rank[who])
+        picked = [np.zeros(0, np.int64)]
+        for i in np.unique(who[open_]).tolist():
+            picked.append(begin[i] + tiles(open_[begin[i] : begin[i] + size[i]], window, shared[order[i]]))
+        picked = np.concatenate(picked)
+        asks = np.unique(h[picked[outside[picked]]])
+        local = np.unique(first[group[picked[~outside[picked]]]])
+        words = lambda w, n: lex.joined(numbers[who[w]][w - begin[who[w]] : w - begin[who[w]] + n])
+        given = np.sort(first[opens])
+        fresh = np.append(True, (np.diff(given) > 1) | (np.diff(who[given]) > 0))[: len(given)]
+        run_start = np.maximum.accumulate(np.where(fresh, np.arange(len(given)), 0)) if len(given) else given
+        place = (np.arange(len(given)) - run_start) % block
+        heads = np.flatnonzero(place == 0)
+        name = (np.int64(bundle) << np.int64(32)) + np.cumsum(place == 0) - 1
+        length = np.diff(heads, append=len(given))
+        kinds = [np.full(len(asks), ASK), np.full(len(given), WORD_AT), np.full(len(heads), RUN), np.full(len(local), LOCAL)]
+        null = lambda n: [None] * len(n)
+        owner = lambda ws: [ids[order[who[w]]] for w in ws.tolist()]
+        return pa.table(
+            [
+                pa.array(np.concatenate(kinds), pa.int32()),
+                pa.array([*asks.view(np.int64).tolist(), *h[given].view(np.int64).tolist(), *null(heads), *null(local)], pa.int64()),
+                pa.array([*null(asks), *name.tolist(), *name[heads].tolist(), *null(local)], pa.int64()),
+                pa.array([*null(asks), *place.tolist(), *null(heads), *null(local)], pa.int32()),
+                pa.array([*null(asks), *null(given), *(words(w, n + window - 1) for w, n in zip(given[heads].tolist(), length.tolist(), strict=True)), *(words(w, window) for w in local.tolist())], pa.string()),
+                pa.array([*null(asks), *null(given), *owner(given[heads]), *owner(local)], pa.int64()),
+                pa.array([bundle] * sum(map(len, kinds)), pa.int32()),
+            ],
+            names=[x.split()[0] for x in MARK.split(", ")],
+        )
+
+    return run
 
 
-def _runs(owner: np.ndarray, doc: int) -> Iterator[tuple[int, int, int]]:
-    """(first window, number of windows, owner) of runs of one owner, which is before doc."""
-    edge = np.flatnonzero(np.diff(owner)) + 1
-    for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(owner)], strict=True):
-        if b > a and owner[a] < doc:
-            yield a, b - a, int(owner[a])
+def phrase_table(marks: DataFrame, window: int) -> DataFrame:
+    """(bundle, words, owner): what each bundle asked for, with the words of the first document that has it."""
+    asks = marks.where(F.col("kind") == ASK).select("h", "bundle")
+    given = marks.where(F.col("kind") == WORD_AT).select("h", "block", "at")
+    runs = marks.where(F.col("kind") == RUN).select("block", "words", "doc_id")
+    words = F.array_join(F.slice(F.split("words", " "), F.col("at") + 1, window), " ")
+    found = asks.join(given, "h").select("bundle", "block", "at").join(runs, "block").select("bundle", words.alias("words"), F.col("doc_id").alias("owner"))
+    return found.unionByName(marks.where(F.col("kind") == LOCAL).select("bundle", "words", F.col("doc_id").alias("owner")))
 
 
-def locate(numbers: list[np.ndarray], owners: list[np.ndarray], rank: np.ndarray, window: int, automaton_words: int = AUTOMATON_WORDS) -> list[np.ndarray]:
-    """For each document a mask of the words to remove.
+#: Symbols of a digit: an automaton's node looks through its edges one by one.
+_BASE = 32
 
-    owners: for each window the rank of the first document that has it (-1: in a smaller
-    bundle); rank: the documents' own ranks by doc_id.
+
+def locate(numbers: list[np.ndarray], before: list[int | float], phrases: dict[tuple, int], window: int, automaton_words: int = AUTOMATON_WORDS) -> list[np.ndarray]:
+    """For each document a mask of the words that a phrase of an earlier document covers.
+
+    phrases: word numbers -> the smallest doc_id that owns them; before: the documents' doc_ids
+    (infinite where there is none).
     """
-    phrases: dict[bytes, tuple[np.ndarray, int]] = {}
-    for ids, own, r in zip(numbers, owners, rank.tolist(), strict=True):
-        if not len(own) or own.min() >= r:
-            continue
-        for first, n, owner in _runs(own, r):
-            for k in [*range(first, first + n, window), first + n - 1]:
-                words = ids[k : k + window]
-                phrases.setdefault(words.tobytes(), (words, owner))
     masks = [np.zeros(len(ids), bool) for ids in numbers]
-    todo = list(phrases.values())
+    todo = list(phrases.items())
     step = max(1, automaton_words // window)
     top = max((int(ids.max()) for ids in numbers if len(ids)), default=0) + 1
     for at in range(0, len(todo), step):
         part = todo[at : at + step]
-        words = np.stack([w for w, _ in part])
+        words = np.array([w for w, _ in part], np.int64)
+        owners = [o for _, o in part]
         known, sign = np.unique(words, return_inverse=True)
-        # one character a word; 1 stands for words of no phrase, and surrogates are left out
-        char = np.arange(2, len(known) + 2, dtype=np.uint32)
-        char[char >= 0xD800] += 0x800
-        code = np.ones(top, np.uint32)
+        digits = 1
+        while _BASE**digits <= len(known):
+            digits += 1
+        # a word is `digits` characters, each place with an alphabet of its own; \x01 stands for words of no phrase
+        place = np.arange(1, len(known) + 1)[:, None] // _BASE ** np.arange(digits - 1, -1, -1)[None] % _BASE
+        char = (2 + np.arange(digits) * _BASE + place).astype(np.uint32)
+        code = np.ones((top, digits), np.uint32)
         code[known] = char
         auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for key, (_, owner) in zip(char[sign.reshape(words.shape)], part, strict=True):
-            auto.add_word(key.tobytes().decode("utf-32-le"), owner + 2)
+        for i, key in enumerate(char[sign.reshape(words.shape)].reshape(len(part), -1)):
+            auto.add_word(key.tobytes().decode("utf-32-le"), i)
         auto.make_automaton()
-        for ids, mask, r in zip(numbers, masks, rank.tolist(), strict=True):
+        for ids, mask, doc in zip(numbers, masks, before, strict=True):
             if len(ids) < window:
                 continue
-            ends = [e for e, owner in auto.iter(code[ids].tobytes().decode("utf-32-le")) if owner - 2 < r]
+            ends = [e for e, i in auto.iter(code[ids].tobytes().decode("utf-32-le")) if owners[i] < doc]
             if ends:
                 cover = np.zeros(len(ids) + 1, np.int32)
-                ends = np.array(ends)
+                ends = np.array(ends) // digits
                 np.add.at(cover, ends - window + 1, 1)
                 np.add.at(cover, ends + 1, -1)
                 mask |= np.cumsum(cover[:-1]) > 0
     return masks
 
 
-def first_owners(docs: list[np.ndarray], rank: np.ndarray, answers: list[tuple[bytes, int]]) -> list[np.ndarray]:
-    """Per window the smallest rank of a document of the bundle that has it, -1 if a smaller bundle does.
-
-    answers: the shards' bits and their numbers, in the order of the bundle's distinct hashes.
-    """
-    h = np.concatenate([*docs, np.zeros(0, np.uint64)])
-    order = np.argsort(h)
-    start = np.flatnonzero(_fresh(h[order]))
-    earlier = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in answers)])
-    if len(start) != len(earlier):
-        raise RuntimeError(f"{len(start)} distinct windows, {len(earlier)} answers")
-    size = np.array([len(x) for x in docs], np.int64)
-    if not len(h):
-        return list(docs)
-    low = np.minimum.reduceat(np.repeat(rank, size)[order], start)
-    low[earlier] = -1
-    out = np.empty(len(h), np.int64)
-    out[order] = np.repeat(low, np.diff(start, append=len(h)))
-    return np.split(out, np.cumsum(size)[:-1])
-
-
 def _clean(window: int, columns: list[str], digest: bool, automaton_words: int):
-    """Step 3: a bundle's documents and the shards' answers for it."""
+    """Step 4: a bundle's documents and its phrases."""
 
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, phrases: pa.Table) -> pa.Table:
+        rows = docs.column("row").combine_chunks()
+        texts = rows.field("text").to_pylist()
+        ids = rows.field("doc_id").to_pylist()
         lex = Lexicon()
-        texts = docs.column("text").to_pylist()
         numbers = [lex.numbers(t) for t in texts]
-        hashes = [window_hashes(lex.hashes(ids), window) for ids in numbers]
-        told = sorted(zip(*(answers.column(c).to_pylist() for c in ("shard", "bits", "n")), strict=True))
-        # rows without a doc_id come after all others; equal doc_ids have equal ranks
-        rank = ranks(docs.column("doc_id"))
-        owners = first_owners(hashes, rank, [(b, n) for _, b, n in told])
-        del hashes
-        masks = locate(numbers, owners, rank, window, automaton_words)
-        kept = [b" ".join(w for w, gone in zip((t or "").encode("utf-8", "replace").split(), m.tolist(), strict=True) if not gone) if m.any() else None for t, m in zip(texts, masks, strict=True)]
+        wanted: dict[tuple, int] = {}
+        for words, owner in zip(phrases.column("words").to_pylist(), phrases.column("owner").to_pylist(), strict=True):
+            key = tuple(lex.get(w, -1) for w in words.encode().split(b" "))
+            # a phrase with a word that the bundle lacks had only its hash in common
+            if owner is not None and min(key) >= 0 and len(key) == window:
+                wanted[key] = min(owner, wanted.get(key, owner))
+        masks = locate(numbers, [np.inf if i is None else i for i in ids], wanted, window, automaton_words)
+        kept = [b" ".join([w for w, gone in zip((t or "").encode("utf-8", "replace").split(), m.tolist(), strict=True) if not gone]) if m.any() else None for t, m in zip(texts, masks, strict=True)]
         if digest:
             flat = (b" ".join((t or "").encode("utf-8", "replace").split()) if k is None else k for t, k in zip(texts, kept, strict=True))
             sha = [hashlib.sha256(x).hexdigest() for x in flat]
-            return pa.table([docs.column("doc_id"), pa.array([len(m) for m in masks], pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-        new = pa.array([t if k is None else k.decode("utf-8") for t, k in zip(texts, kept, strict=True)], docs.schema.field("text").type)
-        return docs.set_column(docs.schema.get_field_index("text"), "text", new).select(columns)
+            return pa.table([rows.field("doc_id"), pa.array([len(m) for m in masks], pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        new = pa.array([t if k is None else k.decode("utf-8") for t, k in zip(texts, kept, strict=True)], rows.field("text").type)
+        return pa.table([new if c == "text" else rows.field(c) for c in columns], names=columns)
 
     return run
 
 
-def ranks(ids: pa.ChunkedArray) -> np.ndarray:
-    """Dense ranks of doc_ids; rows without one come after all others."""
-    null = ids.is_null().to_numpy()
-    value = ids.fill_null(0).to_numpy()
-    known = np.unique(value[~null])
-    return np.where(null, len(known), np.searchsorted(known, value)).astype(np.int64)
-
-
-def _deduplicate(docs: DataFrame, schema, digest: bool, *, window: int = WINDOW, bundle_mb: float = BUNDLE_MB, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "passages")
-    small_batches(spark)
-    table, name, n = bundled(docs, scratch, bundle_mb)
-    blobs = table.select("_bundle", "text").groupBy("_bundle").applyInArrow(_emit(window, n), "shard int, _bundle int, blob binary")
+def _deduplicate(docs: DataFrame, schema, digest: bool, *, window: int = WINDOW, bundle_mb: float = BUNDLE_MB, automaton_words: int = AUTOMATON_WORDS, block: int = BLOCK) -> DataFrame:
+    scratch = Scratch(docs.sparkSession, "passages")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    borders = Borders(narrow, bundle_mb)
+    n = borders.n
+    shards = shards_for(n, BUNDLES_A_SHARD)
+    texts = borders.deal(narrow, "text").drop("shared").repartition(n, "bundle")
+    blobs = texts.groupBy("bundle").applyInArrow(_emit(window, shards), "shard int, bundle int, blob binary")
     # one row a bundle in each group: a shard holds its share of all distinct windows
-    answers = blobs.repartition(n, "shard").groupBy("shard").applyInArrow(_answer, "_bundle int, shard int, n long, bits binary")
-    answers = scratch.keep(answers, "answers")
-    out = table.groupBy("_bundle").cogroup(answers.groupBy("_bundle")).applyInArrow(_clean(window, docs.columns, digest, automaton_words), schema)
+    answers = scratch.keep(blobs.repartition(shards, "shard").groupBy("shard").applyInArrow(_answer, ANSWER), "answers")
+    dealt = borders.deal(narrow, "doc_id", "text").repartition(n, "bundle")
+    marks = scratch.keep(dealt.groupBy("bundle").cogroup(answers.groupBy("bundle")).applyInArrow(_survey(window, block), MARK), "marks")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    dealt = borders.deal(whole, "row").drop("shared").repartition(n, "bundle")
+    out = dealt.groupBy("bundle").cogroup(phrase_table(marks, window).groupBy("bundle")).applyInArrow(_clean(window, docs.columns, digest, automaton_words), schema)
     out = scratch.keep(out, "out")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    scratch.drop("bundles", "answers")
+    scratch.drop("answers", "marks")
     return out
 
 
 def removed_words(docs: DataFrame, **params) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for each row of docs.
 
-    Null texts have no words. Texts of fewer words than the window lose none. Rows
-    with a null doc_id come after all others and, like rows that share a doc_id, count
-    as one document: their windows don't remove each other. Repeated rows are each
-    judged. Columns other than doc_id and text are not read.
+    Null and empty texts have no words; texts of fewer words than the window lose none.
+    Rows with a null doc_id come after all others and, like rows that share a doc_id,
+    count as one document: their windows don't remove each other. Repeated rows are each
+    judged. No rows: none back. Columns other than doc_id and text are not read.
     """
     return _deduplicate(docs.select("doc_id", "text"), "doc_id long, n_words long, n_removed long, kept_sha256 string", True, **params)
 
 
 def without_repeats(docs: DataFrame, **params) -> DataFrame:
-    """docs, with repeated words taken out of text; a text that loses none stays as it is."""
+    """docs, with repeated words taken out of text; a text that loses none stays as it is.
+
+    Rows are judged as by removed_words(); none is dropped, and a text that loses all its
+    words is empty. Other columns, whatever their names, stay as they are.
+    """
     return _deduplicate(docs, docs.schema, False, **params)
 
 
