@@ -3,18 +3,21 @@
 Filters are unit vectors in a product code: the space is turned by a random rotation and
 cut into two halves, each with a small random code of unit vectors, and a filter is a
 pair of codewords. Its value at a vector is the sum of two inner products, so all filters
-over a threshold are list-decoded from two short sorted lists.
+over a threshold are list-decoded from two short lists.
 
 A vector lives at its home, the filter with the largest value, at an angle a. It visits
 every filter within the angle a + r, where r is the angle of the similarity asked for. Of
 two linked vectors, the one with the larger angle visits the other's home: the home lies
 at no more than a' + r <= a + r from it. So no link is lost, and each is met once: in the
-join on (label, filter) a visitor is compared only with residents before it in the order
-of (angle, id). What meets at a filter is compared in blocks, and only counts and a
+join on filters a visitor is compared only with residents before it in the order of
+(angle, id). What meets at a filter is compared in blocks, and only counts and a
 spanning forest of the links leave.
 
-Vectors that are equal, with equal labels, are one class with a count; hot filters are
-split by a salt. The number of filters follows the rows of the largest label.
+The number of filters follows the rows of the largest label, so that a filter keeps about
+`per_filter` residents and the share of pairs that is compared falls as rows grow. A vector
+is sent once to each first codeword that it has filters under, with the list of its second
+codewords, not once to each filter. Vectors that are equal, with equal labels, are one class
+with a count; crowded groups are split by a salt.
 """
 
 from __future__ import annotations
@@ -27,32 +30,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, shards_for, small_batches
-from .simhash import forest
+from .common import Scratch, components, shards_for
+from .simhash import forest, runs
 
 #: Residents that a filter should have, and that one task compares at once.
-PER_FILTER, PER_BLOCK = 160, 4096
+PER_FILTER, PER_BLOCK = 12, 4096
+#: Second codewords for each first one.
+SLANT = 8
 
 
-def codes(dim: int, size: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random rotation and one code of `size` unit vectors for each half."""
-    rng = np.random.default_rng([seed, dim, size])
+def codes(dim: int, sizes: tuple[int, int], seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random rotation and a code of unit vectors for each half."""
+    rng = np.random.default_rng([seed, dim, *sizes])
     turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     half = dim // 2
-    unit = lambda k: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(rng.standard_normal((size, k)))
-    return turn, unit(max(half, 1)), unit(dim - half)
+    unit = lambda n, k: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(rng.standard_normal((n, k)))
+    return turn, unit(sizes[0], max(half, 1)), unit(sizes[1], dim - half)
 
 
-def values(x: np.ndarray, dim: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+def values(x: np.ndarray, dim: int, sizes: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Inner products of unit vectors with both codes; a filter's value is a sum of two."""
-    turn, a, b = codes(dim, size)
+    turn, a, b = codes(dim, sizes)
     y = x @ turn
     half = dim // 2
     if half == 0:
-        return np.zeros((len(x), size)), y @ b.T / math.sqrt(2)
+        return np.zeros((len(x), sizes[0])), y @ b.T / math.sqrt(2)
     return y[:, :half] @ a.T / math.sqrt(2), y[:, half:] @ b.T / math.sqrt(2)
 
 
+def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    """A column of vectors of one length, none of them null, in double precision."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
 #: Which vectors can be compared, and those with -0 as 0, so that equal ones group.
 FINITE = "embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)"
 CLEAN = "transform(embedding, x -> x + cast(0 as float))"
@@ -64,8 +76,15 @@ def classes(vectors: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(live.groupBy("label", "embedding").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n")).withColumn("dim", F.size("embedding")), "classes")
 
 
-def _assign(size: int, cos: float):
-    """Each class at its home (role 0), and at every filter that it visits (role 1)."""
+SEAT = "label long, dim int, first int, home int, visits binary, class_id long, n long, angle double, embedding array<float>"
+_SCHEMA = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("first", pa.int32()), ("home", pa.int32()), ("visits", pa.binary()), ("class_id", pa.int64()), ("n", pa.int64()), ("angle", pa.float64()), ("embedding", pa.list_(pa.float32()))])
+
+
+def _assign(sizes: tuple[int, int], cos: float):
+    """Each class once under every first codeword that it has filters of.
+
+    home: second codeword of the home, if it is here (else -1); visits: second codewords of the filters visited.
+    """
     reach = math.acos(cos)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,62 +92,95 @@ def _assign(size: int, cos: float):
             dims = b.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
                 part = b.filter(pa.array(dims == dim))
-                x = np.array(part.column("embedding").to_pylist(), np.float64).reshape(-1, dim)
-                u, v = values(x / np.linalg.norm(x, axis=1, keepdims=True), dim, size)
+                x = matrix(part.column("embedding"), dim)
+                u, v = values(x / np.linalg.norm(x, axis=1, keepdims=True), dim, sizes)
                 iu, iv = u.argmax(1), v.argmax(1)
-                home = iu * size + iv
-                top = u.max(1) + v.max(1)
-                angle = np.arccos(np.clip(top, -1, 1))
+                angle = np.arccos(np.clip(u.max(1) + v.max(1), -1, 1))
                 bar = np.cos(np.minimum(angle + reach, np.pi)) - 1e-9
-                rows, filters, roles = [np.arange(len(x))], [home], [np.zeros(len(x), np.int8)]
-                # list decoding: codewords of a half whose value, with the best of the other, is enough
-                for i in range(len(x)):
-                    left = np.flatnonzero(u[i] + v[i, iv[i]] >= bar[i])
-                    a, c = np.nonzero(u[i, left, None] + v[i][None] >= bar[i])
-                    rows.append(np.full(len(a), i))
-                    filters.append(left[a] * size + c)
-                    roles.append(np.ones(len(a), np.int8))
-                at = np.concatenate(rows)
-                out = part.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays(
-                    [out.column("label"), out.column("dim"), pa.array(np.concatenate(filters), pa.int64()), pa.array(np.concatenate(roles).astype(np.int32)), out.column("class_id"), out.column("n"), pa.array(angle[at]), out.column("embedding")],
-                    names=["label", "dim", "filter", "role", "class_id", "n", "angle", "embedding"],
-                )
+                # list decoding: the first codewords whose value, with the best of the other half, is enough
+                row, first = np.nonzero(u + v.max(1)[:, None] >= bar[:, None])
+                visits = [np.flatnonzero(v[i] >= bar[i] - u[i, k]).astype("<u4").tobytes() for i, k in zip(row.tolist(), first.tolist(), strict=True)]
+                home = np.where(first == iu[row], iv[row], -1)
+                out = part.take(pa.array(row))
+                cols = [out.column("label"), out.column("dim"), pa.array(first), pa.array(home), pa.array(visits, pa.binary()), out.column("class_id"), out.column("n"), pa.array(angle[row]), out.column("embedding")]
+                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
     return run
 
 
-def meet(table: pa.Table, cos: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links of one filter's visitors with its residents: (ids, their new links; u, v of a forest)."""
+def meet(table: pa.Table, cos: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Links under one first codeword: (ids, their new links; u, v of a forest; pairs compared)."""
+    ids, n, angle, home, dim = (table.column(c).to_numpy() for c in ("class_id", "n", "angle", "home", "dim"))
     role = table.column("role").to_numpy()
-    ids, n, angle = (table.column(c).to_numpy() for c in ("class_id", "n", "angle"))
-    x = np.array(table.column("embedding").to_pylist(), np.float64)
+    x = matrix(table.column("embedding"), int(dim[0]))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    order = np.lexsort((ids, angle))
-    place = np.empty(len(ids), np.int64)
-    # one class has the same angle at home and on a visit, so ids order ties alike
-    place[order] = np.arange(len(ids))
-    home, visit = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+    lists = [np.frombuffer(b, "<u4") for b in table.column("visits").to_pylist()]
+    who = np.flatnonzero(role != 0)
+    visitor = np.repeat(who, [len(lists[i]) for i in who.tolist()])
+    second = np.concatenate([np.zeros(0, "<u4"), *(lists[i] for i in who.tolist())]).astype(np.int64)
+    order = np.argsort(second, kind="stable")
+    visitor, second = visitor[order], second[order]
+    resident = np.flatnonzero(role != 1)
+    resident = resident[np.argsort(home[resident], kind="stable")]
+    at = home[resident]
     gained = np.zeros(len(ids), np.int64)
-    us, vs, held = [], [], 0
-    step = max(1, (1 << 22) // max(1, len(home)))
-    for at in range(0, len(visit), step):
-        w = visit[at : at + step]
-        hit = x[w] @ x[home].T >= cos
-        before = (angle[home][None] < angle[w][:, None]) | ((angle[home][None] == angle[w][:, None]) & (ids[home][None] < ids[w][:, None]))
-        i, j = np.nonzero(hit & before)
-        i, j = w[i], home[j]
-        np.add.at(gained, i, n[j])
-        np.add.at(gained, j, n[i])
-        us.append(ids[i])
-        vs.append(ids[j])
-        held += len(i)
-        if held > 1 << 20:
-            u, v = forest(np.concatenate(us), np.concatenate(vs))
-            us, vs, held = [u], [v], 0
-    u, v = forest(np.concatenate([*us, ids[:0]]), np.concatenate([*vs, ids[:0]]))
+    us, vs, held, compared = [ids[:0]], [ids[:0]], 0, 0
+    for f in np.unique(at).tolist():
+        here = resident[np.searchsorted(at, f, "left") : np.searchsorted(at, f, "right")]
+        asks = visitor[np.searchsorted(second, f, "left") : np.searchsorted(second, f, "right")]
+        step = max(1, (1 << 22) // len(here))
+        for k in range(0, len(asks), step):
+            w = asks[k : k + step]
+            compared += len(w) * len(here)
+            i, j = np.nonzero(x[w] @ x[here].T >= cos)
+            i, j = w[i], here[j]
+            # one class has the same angle at home and on a visit, so ids order ties alike
+            before = (angle[j] < angle[i]) | ((angle[j] == angle[i]) & (ids[j] < ids[i]))
+            i, j = i[before], j[before]
+            np.add.at(gained, i, n[j])
+            np.add.at(gained, j, n[i])
+            us.append(ids[i])
+            vs.append(ids[j])
+            held += len(i)
+            if held > 1 << 20:
+                u, v = forest(np.concatenate(us), np.concatenate(vs))
+                us, vs, held = [u], [v], 0
+    u, v = forest(np.concatenate(us), np.concatenate(vs))
     some = gained > 0
-    return ids[some], gained[some], u, v
+    return ids[some], gained[some], u, v, compared
+
+
+def links(cls: DataFrame, scratch: Scratch, cos: float, per_filter: int, per_block: int) -> DataFrame:
+    """(u, v, gained): a forest of the classes' links where gained is null; links that class u has gained where v is.
+
+    A row without u has the number of pairs compared.
+    """
+    most = cls.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    first = max(1, math.ceil(math.sqrt(most / per_filter / SLANT)))
+    sizes = (first, max(2, SLANT * first))
+    seats = scratch.keep(cls.repartition("class_id").mapInArrow(_assign(sizes, cos), SEAT), "seats", rows=2000)
+    key = ["label", "dim", "first"]
+    # a crowded group is split: residents by salt, visitors to every part; a row that is both goes where it is needed
+    crowd = seats.groupBy(*key).agg(F.count_if(F.col("home") >= 0).alias("h"), F.count("*").alias("g")).where("h > 0 and g > 1")
+    crowd = scratch.keep(crowd.selectExpr(*key, f"cast(ceil(h / {per_block}) as int) as hs", f"cast(ceil(g / {4 * per_block}) as int) as gs"), "crowd")
+    mine = "named_struct('a', cast(pmod(xxhash64(class_id), hs) as int), 'b', cast(pmod(xxhash64(class_id), gs) as int))"
+    lives = "transform(sequence(0, gs - 1), k -> named_struct('a', {m}.a, 'b', k, 'role', if(k = {m}.b, 2, 0)))".replace("{m}", mine)
+    calls = "transform(sequence(0, hs - 1), k -> named_struct('a', k, 'b', {m}.b, 'role', 1))".replace("{m}", mine)
+    # role 0: resident, 1: visitor, 2: both
+    places = f"if(home >= 0, concat({lives}, filter({calls}, p -> p.a <> {mine}.a)), {calls})"
+    dealt = seats.join(crowd, key).withColumn("s", F.explode(F.expr(places))).select(*key, "s.a", "s.b", "s.role", "home", "visits", "class_id", "n", "angle", "embedding")
+    key = [*key, "a", "b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, total = pa.schema([(c, pa.int64()) for c in ("u", "v", "gained")]), 0
+        for table in runs(batches, key):
+            ids, gained, u, v, compared = meet(table, cos)
+            total += compared
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids, u])), pa.array([*[None] * len(ids), *v.tolist()], pa.int64()), pa.array([*gained.tolist(), *[None] * len(u)], pa.int64())], schema=kind)
+        yield pa.RecordBatch.from_pylist([{"gained": total}], schema=kind)
+
+    parts = shards_for(seats.count(), 20_000)
+    return dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(run, "u long, v long, gained long")
 
 
 def near_vectors(vectors: DataFrame, *, cos: float = 0.98, per_filter: int = PER_FILTER, per_block: int = PER_BLOCK) -> DataFrame:
@@ -140,46 +192,12 @@ def near_vectors(vectors: DataFrame, *, cos: float = 0.98, per_filter: int = PER
     a vec_id are one node of the components. A row with a null vec_id takes no part: no
     links, a null component, kept. No rows: none back. Other columns are not read.
     """
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "caps")
+    scratch = Scratch(vectors.sparkSession, "caps")
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
     cls = classes(base.where("vec_id is not null"), scratch)
-    most = cls.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    size = max(2, math.ceil(math.sqrt(most / per_filter)))
-    small_batches(spark, 2000)
-    seats = scratch.keep(cls.repartition("class_id").mapInArrow(_assign(size, cos), "label long, dim int, filter long, role int, class_id long, n long, angle double, embedding array<float>"), "seats")
-    # a filter with many residents is split: residents by salt, visitors to every part
-    crowd = seats.groupBy("label", "dim", "filter").agg(F.sum(F.when(F.col("role") == 0, 1).otherwise(0)).alias("h"), F.sum("role").alias("g")).where("h > 0 and g > 0")
-    crowd = scratch.keep(crowd.selectExpr("label", "dim", "filter", f"cast(ceil(h / {per_block}) as int) as hs", f"cast(ceil(g / {4 * per_block}) as int) as gs"), "crowd")
-    salt = "case when role = 0 then transform(sequence(0, gs - 1), k -> named_struct('a', cast(pmod(xxhash64(class_id), hs) as int), 'b', k)) else transform(sequence(0, hs - 1), k -> named_struct('a', k, 'b', cast(pmod(xxhash64(class_id), gs) as int))) end"
-    dealt = seats.join(crowd, ["label", "dim", "filter"]).withColumn("s", F.explode(F.expr(salt))).select("label", "dim", "filter", "s.a", "s.b", "role", "class_id", "n", "angle", "embedding")
-    key = ["label", "dim", "filter", "a", "b"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups() -> Iterator[pa.Table]:
-            held, at = [], None
-            for b in batches:
-                keys = list(zip(*(b.column(c).to_pylist() for c in key), strict=True))
-                start = 0
-                for i in range(1, len(keys) + 1):
-                    if i == len(keys) or keys[i] != keys[start]:
-                        if keys[start] != at and held:
-                            yield pa.Table.from_batches(held)
-                            held = []
-                        at = keys[start]
-                        held.append(b.slice(start, i - start))
-                        start = i
-            if held:
-                yield pa.Table.from_batches(held)
-
-        for table in groups():
-            ids, gained, u, v = meet(table, cos)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids, u])), pa.array(np.concatenate([np.full(len(ids), -1), v]).astype(np.int64)), pa.array(np.concatenate([gained, np.full(len(u), -1)]).astype(np.int64))], names=["u", "v", "gained"])
-
-    parts = shards_for(seats.count(), 20_000)
-    met = scratch.keep(dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(run, "u long, v long, gained long"), "met")
-    root = components(met.where("gained < 0").select("u", "v"), scratch).withColumnRenamed("label", "root")
-    gained = met.where("gained > 0").groupBy("u").agg(F.sum("gained").alias("gained"))
+    met = scratch.keep(links(cls, scratch, cos, per_filter, per_block), "met")
+    root = components(met.where("gained is null").select("u", "v"), scratch).withColumnRenamed("label", "root")
+    gained = met.where("u is not null and v is null").groupBy("u").agg(F.sum("gained").alias("gained"))
     per = cls.join(gained, F.col("class_id") == F.col("u"), "left").join(root, F.col("class_id") == F.col("node"), "left")
     per = per.select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.coalesce("gained", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "class_id").alias("component_id"))
     per = scratch.keep(per, "per_class")
