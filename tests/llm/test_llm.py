@@ -49,7 +49,7 @@ def empty(spark):
 @pytest.fixture(scope="module")
 def wide(docs):
     """The rows with extra columns whose names the operators use inside."""
-    return docs.withColumns({c: F.lit("x") for c in ("fp", "size", "piece", "label", "score", "held_out", "rep", "_bundle")})
+    return docs.withColumns({c: F.lit("x") for c in ("fp", "size", "piece", "label", "score", "held_out", "rep", "bundle", "_bundle", "row", "node", "keys", "copy", "copies", "_size", "_copy", "_rep", "_n", "n", "r", "d", "s", "shared", "words", "owner", "to", "at", "_lanternfish_node")})
 
 
 def test_components(spark):
@@ -63,15 +63,15 @@ def test_components(spark):
 # --- 1 WARC
 
 
-@pytest.mark.parametrize(("compression", "split"), [("gzip", "128m"), (None, "900"), (None, "5000")])
-def test_warc_round_trip(spark, compression, split):
+@pytest.mark.parametrize(("compression", "split", "part"), [("gzip", "128m", 3000), ("gzip", "128m", 1 << 20), (None, "900", 1 << 20), (None, "5000", 700)])
+def test_warc_round_trip(spark, compression, split, part):
     bait = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     rows = [(i, f"http://x/{i % 3} a\n", ("<p>" + bait * (i % 4) + "é" * 400 * (i % 5) + "</p>") if i % 7 else None) for i in range(40)]
     rows += [(None, None, "z" * 2000), (5000, "u", "z" * 2000), (5001, "u", "y" * 999), (5002, "u", "y" * 999)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("file", F.lit(1)).coalesce(2)
     spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     try:
-        got = warc.archive_round_trip(pages, compression=compression).collect()
+        got = warc.archive_round_trip(pages, compression=compression, part_bytes=part).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(got) == len(rows)
@@ -176,7 +176,8 @@ def test_keep_one_of_null_and_shared_ids(spark):
     assert got == Counter([(None, a), (None, b), (7, c), (3, d), (7, e), (9, "")])
 
 
-def test_simhash_buckets_lose_no_link(spark):
+@pytest.mark.parametrize(("per_pivot", "per_block"), [(256, 4096), (4, 3)])
+def test_simhash_pivots_lose_no_link(spark, per_pivot, per_block):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**64, 60, dtype=np.uint64)
     fps = list(base)
@@ -188,9 +189,13 @@ def test_simhash_buckets_lose_no_link(spark):
     near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 3
     want = brute_components(fps.tolist(), [np.flatnonzero(x).tolist() for x in near])
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    got = {r.node: r.label for r in components(simhash.links(df), Scratch(spark, "t")).collect()}
+    edges = simhash.links(df, Scratch(spark, "t"), per_pivot=per_pivot, per_block=per_block)
+    got = {r.node: r.label for r in components(edges.where("u is not null").select("u", "v"), Scratch(spark, "t")).collect()}
     label = [got.get(int(x), int(x)) for x in fps.view(np.int64)]
     assert len(set(zip(label, want, strict=True))) == len(set(label)) == len(set(want))
+    n = edges.agg(F.sum("met").alias("met"), F.sum("left").alias("left"), F.sum("linked").alias("linked")).first()
+    # each link is met once, and the pivots discard nearly all that isn't one
+    assert n.linked == (near.sum() - len(fps)) // 2 <= n.left <= n.linked + 0.02 * n.met + 5
 
 
 def test_near_copies(spark):
@@ -485,15 +490,44 @@ def test_neighbours_of_repeated_rows(spark):
 
 def test_neighbours_without_luck(spark, vectors):
     """With one narrow probe most queries lack rows and are answered from all of them."""
-    got = neighbours.search(vectors, every=20, tables=1, probes=1, width=0.2).groupBy("query_id").count().collect()
+    got = neighbours.search(vectors, every=20, tables=1, recall=0.0, width=0.2).groupBy("query_id").count().collect()
     assert {r["count"] for r in got} <= {1, 10}
 
 
 def test_probe_order():
+    """All moves of three projections come out once, each border crossed in the order of its rank."""
+    order = neighbours.success_order(3, 99)
     inside = np.array([0.1, 0.6, 0.45])
-    moves = neighbours.probe_sets(inside, 27)
-    cost = [sum((inside[d] if m < 0 else 1 - inside[d]) ** 2 for d, m in enumerate(row) if m) for row in moves]
-    assert len({tuple(m) for m in moves.tolist()}) == 27 and all(a <= b + 1e-12 for a, b in itertools.pairwise(cost))
+    got = neighbours.moves(order, inside)
+    assert len({tuple(m) for m in got.tolist()}) == 27 == len(got) and set(got.ravel()) == {-1, 0, 1}
+    assert got[:2].tolist() == [[0, 0, 0], [-1, 0, 0]]
+    # by falling success on average over queries that lie evenly in their cells
+    rng, mean = np.random.default_rng(1), np.zeros(27)
+    for inside in rng.random((3000, 3)):
+        got = neighbours.moves(order, inside)
+        mean += (np.where(got < 0, inside, np.where(got > 0, 1 - inside, 0)) ** 2).sum(axis=1)
+    assert (np.diff(mean / 3000) > -0.02).all()
+
+
+def test_neighbours_fit_finds_what_it_must():
+    """Probes are as many as the sample's true neighbours ask for, and k gives way where no list is long enough."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = ((x[:40, None] - x[None]) ** 2).sum(-1)
+    near = [x[np.argsort(r)[1:11]] for r in d]
+    for most in (4000, 30):
+        c = neighbours.fitted(x, 3000, x[:40], near, tables=3, width=2.5, recall=0.95, most=most)
+        order = neighbours.success_order(c.k, c.probes)
+        hit = 0
+        for q, found in zip(x[:40], near, strict=True):
+            seen = np.zeros(10, bool)
+            for t in range(3):
+                y = c.at(q[None], t)[0]
+                seen |= np.isin(neighbours.bucket(np.floor(c.at(found, t))), neighbours.bucket(np.floor(y) + neighbours.moves(order, y - np.floor(y))))
+            hit += seen.sum()
+        assert hit >= 0.95 * 400 and c.probes <= most
+    assert c.k < 10
 
 
 # --- 9 quality
