@@ -134,7 +134,11 @@ class Scorer:
         return out
 
     def score(self, ids: np.ndarray, lengths: np.ndarray, at_once: int = 960) -> np.ndarray:
-        """Natural log probability of each text; ids: all texts' tokens, one after the other.
+        """Natural log probability of each text; ids: all texts' tokens, one after the other."""
+        return np.bincount(np.repeat(np.arange(len(lengths)), lengths), self.log_probs(ids, lengths, at_once), len(lengths))
+
+    def log_probs(self, ids: np.ndarray, lengths: np.ndarray, at_once: int = 960) -> np.ndarray:
+        """Natural log probability of each token, given those before it in its text.
 
         Each text is cut into windows that overlap by CONTEXT tokens; a window scores
         the tokens that no window before it has scored, so each token is scored once.
@@ -146,7 +150,7 @@ class Scorer:
         nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
         # inputs: the token before each scored token, and CONTEXT more before these
         first = nth * new - 1
-        total = np.zeros(len(lengths))
+        total = np.zeros(len(ids))
         flat = np.concatenate([_rows(self.v, ids), [self.v.seen + 1]])
         ranks = self.v.rank[ids]
         step = np.arange(WINDOW) - CONTEXT
@@ -164,8 +168,7 @@ class Scorer:
             h += own[..., dim:]
             live = place[:, CONTEXT:] + 1 < lengths[t][:, None]
             goal = (begin[t][:, None] + place[:, CONTEXT:] + 1)[live]
-            lp = self.next_log_prob(h.reshape(-1, dim + 1), ranks[goal], np.flatnonzero(live))
-            total += np.bincount(np.broadcast_to(t[:, None], live.shape)[live], lp, len(lengths))
+            total[goal] = self.next_log_prob(h.reshape(-1, dim + 1), ranks[goal], np.flatnonzero(live))
         return total
 
 

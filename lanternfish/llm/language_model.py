@@ -5,16 +5,21 @@ What is learnt from the corpus:
 * word counts of all training documents, for the base. Each task counts its words by
   64-bit hash and hands them on packed, by range of the hash; each shard sums its own.
 * all subwords of every training document, for the attention model: texts are cut into
-  consecutive windows in which each subword is predicted once. In each of a few rounds
-  (`rounds`) trainers pass over all their windows from the same weights, which are then
-  averaged in a tree. The number of trainers follows the number of windows. The
-  subword vocabulary is counted on all these windows.
+  consecutive windows in which each subword is predicted once. Training is one pass over
+  all these windows, dealt to trainers whose number follows that of the windows; after
+  each of `rounds` equal parts of its windows the trainers' weights are averaged in a
+  tree. The subword vocabulary is counted on all windows.
+
+The score of a word mixes two distributions with fixed weights: the attention model's over
+its subwords (`ATTENTION`), and the discounted training counts of frequent words, whose
+discounts and rarer words' share fall back on the attention model again. Both sum to one, so
+the score is a probability of the text.
 
 Scoring passes over the documents once, in place. Words whose training count is at least
 a 1/`frequent` share of all tokens are at most `frequent` in number; this bounded table
-is broadcast. Occurrences of the other words go, packed, to the shard of their hash, and
-come back as one sum per document. No task sees more than one shard, or one input
-partition's documents.
+is broadcast. Of the other words each batch of documents asks the shard of their hash once
+for their counts, packed, however many documents have them. No task sees more than one
+shard, or one input partition's documents.
 """
 
 from __future__ import annotations
@@ -35,10 +40,12 @@ from .common import Scratch, shards_for
 from .packing import Encoder, default_tokenizer
 
 DIM, ROUNDS, RATE = 24, 3, 0.02
+#: Weight of the attention model in a word's score, and what is taken off each word's count.
+ATTENTION, DISCOUNT = 0.8, 0.5
 #: Bound on the number of words whose counts are broadcast.
 FREQUENT = 2_000_000
 #: Text that one shard of the word counts stands for, and windows of one trainer.
-SHARD_MB, WINDOWS_EACH = 16, 30_000
+SHARD_MB, WINDOWS_EACH = 16, 120_000
 #: Windows of one row on their way to the trainers.
 AT_ONCE = 2000
 END_HASH = xxh64_intdigest(b"", 29)
@@ -55,6 +62,7 @@ class Lexicon(dict):
         super().__init__()
         self.enc = Encoder(path)
         self.end_id = max(self.enc.added.values(), default=0)
+        self.size = self.end_id + 1
         self.clear()
 
     def clear(self) -> None:
@@ -93,9 +101,12 @@ class Lexicon(dict):
             self.hash = np.concatenate([self.hash, np.array(self.found[len(self.hash) :], np.uint64)])
         return self.hash
 
-    def ids(self, numbers: np.ndarray) -> np.ndarray:
+    def packed_of(self, numbers: np.ndarray) -> list[bytes]:
         packed, pack = self.packed, self._pack
-        return np.frombuffer(b"".join([packed[n] or pack(n) for n in numbers.tolist()]), np.uint32).astype(np.int64)
+        return [packed[n] or pack(n) for n in numbers.tolist()]
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        return np.frombuffer(b"".join(self.packed_of(numbers)), np.uint32).astype(np.int64)
 
 
 _LEXICA: dict[str, Lexicon] = {}
@@ -115,19 +126,24 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-COUNTED = "kind int, shard int, hashes binary, counts binary"
+COUNTED = "kind int, shard int, hashes binary, counts binary, windows int"
+
 
+def packed_type(size: int) -> type:
+    """Numbers of `size` subwords and two signs."""
+    return np.uint16 if size + 2 < 1 << 16 else np.uint32
 
-def cut(ids: np.ndarray) -> np.ndarray:
-    """A text's subwords as windows (n, WINDOW + 1) of inputs and the subword after the last.
+
+def cut(ids: np.ndarray, kind: type = np.uint32) -> np.ndarray:
+    """A text's subwords as windows (n, WINDOW + 1) of inputs and the subword after the last, two higher each.
 
     Windows overlap by the one subword that ends a window and opens the next, so each is
-    predicted once; -1 stands before the text's start, -2 after its end.
+    predicted once; 1 stands before the text's start, 0 after its end.
     """
     size = attention.WINDOW
     n = -(-len(ids) // size)
-    seq = np.full(n * size + 1, -2, np.int32)
-    seq[0], seq[1 : len(ids) + 1] = -1, ids
+    seq = np.zeros(n * size + 1, kind)
+    seq[0], seq[1 : len(ids) + 1] = 1, ids + 2
     return np.lib.stride_tricks.sliding_window_view(seq, size + 1)[::size]
 
 
@@ -137,7 +153,8 @@ def _count(path: str, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, total = lexicon(path), np.zeros(1 << 12, np.int64)
         names = [x.split()[0] for x in COUNTED.split(", ")]
-        batch = lambda k, s, h, c: pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(s, pa.int32()), pa.array(h, pa.binary()), pa.array(c, pa.binary())], names=names)
+        kind = packed_type(lex.size)
+        batch = lambda k, s, h, c, n: pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(s, pa.int32()), pa.array(h, pa.binary()), pa.array(c, pa.binary()), pa.array(n, pa.int32())], names=names)
 
         def counts() -> pa.RecordBatch:
             at = np.flatnonzero(total)
@@ -146,7 +163,7 @@ def _count(path: str, shards: int):
             h, n = h[order], n[order]
             to = np.searchsorted(_shard(h, shards), np.arange(shards + 1))
             some = [s for s in range(shards) if to[s + 1] > to[s]]
-            return batch([0] * len(some), some, [h[to[s] : to[s + 1]].tobytes() for s in some], [n[to[s] : to[s + 1]].astype(np.int64).tobytes() for s in some])
+            return batch([0] * len(some), some, [h[to[s] : to[s + 1]].tobytes() for s in some], [n[to[s] : to[s + 1]].astype(np.int64).tobytes() for s in some], [None] * len(some))
 
         for b in batches:
             if len(lex) > REMEMBER:
@@ -157,14 +174,15 @@ def _count(path: str, shards: int):
             for text in b.column("text").to_pylist():
                 n = lex.numbers(text)
                 docs.append(n)
-                windows.append(cut(lex.ids(n)))
+                windows.append(cut(lex.ids(n), kind))
             if docs:
                 if len(total) < len(lex.found):
                     total = np.concatenate([total, np.zeros(2 * len(lex.found) - len(total), np.int64)])
                 total += np.bincount(np.concatenate(docs), minlength=len(total))
                 whole = np.concatenate(windows)
                 for i in range(0, len(whole), AT_ONCE):
-                    yield batch([1], [0], [None], [whole[i : i + AT_ONCE].tobytes()])
+                    part = whole[i : i + AT_ONCE]
+                    yield batch([1], [0], [None], [part.tobytes()], [len(part)])
         yield counts()
 
     return run
@@ -192,18 +210,21 @@ def _frequent(least: int):
     return run
 
 
-def _windows(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, np.int32).reshape(-1, attention.WINDOW + 1)
+def _windows(blob: bytes, size: int) -> np.ndarray:
+    """Windows as cut() packs them: -1 before the text's start, -2 after its end."""
+    return np.frombuffer(blob, packed_type(size)).reshape(-1, attention.WINDOW + 1).astype(np.int32) - 2
 
 
-def _learn(sent, rate: float, seed: int):
-    """One trainer's pass over all its windows."""
+def _learn(sent, rate: float, turn: int, turns: int):
+    """One trainer's pass over one of `turns` equal parts of its windows."""
 
     def run(table: pa.Table) -> pa.Table:
         v, w = sent.value
-        mine = np.concatenate([_windows(x) for x in sorted(table.column("counts").to_pylist())])
-        w = attention.train(v, w, mine, rate=rate, seed=seed)
-        return pa.table([pa.array([table.column("trainer")[0].as_py()], pa.int32()), pa.array([len(mine)], pa.int64()), pa.array([pickle.dumps(w)], pa.binary())], names=["trainer", "n", "weights"])
+        mine = np.concatenate([_windows(x, v.size) for x in sorted(table.column("counts").to_pylist())])
+        # the same order in each turn, so that the parts make up all windows
+        part = mine[np.random.default_rng(len(mine)).permutation(len(mine))[turn::turns]]
+        w = attention.train(v, w, part, rate=rate, seed=turn)
+        return pa.table([pa.array([table.column("trainer")[0].as_py()], pa.int32()), pa.array([len(part)], pa.int64()), pa.array([pickle.dumps(w)], pa.binary())], names=["trainer", "n", "weights"])
 
     return run
 
@@ -220,56 +241,57 @@ def _mean(table: pa.Table) -> pa.Table:
 
 
 def fit_attention(windows: DataFrame, size: int, scratch: Scratch, *, dim: int, rounds: int, rate: float, windows_each: int) -> tuple[attention.Vocabulary, dict]:
-    """Train on all windows: rounds of one pass by each trainer, then the mean of the weights.
+    """Train on all windows once; the mean of the trainers' weights after each of `rounds` parts.
 
-    The `counts` column of windows holds packed windows, `AT_ONCE` a row at most.
+    The `counts` column of windows holds packed windows, `AT_ONCE` a row at most, and the
+    column `windows` their number.
     """
     spark = windows.sparkSession
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, rows = np.zeros(size, np.int64), 0
+        n = np.zeros(size, np.int64)
         for b in batches:
             for blob in b.column("counts").to_pylist():
-                w = _windows(blob)
-                rows += len(w)
-                w = w[:, 1:]  # each subword once
+                w = _windows(blob, size)[:, 1:]  # each subword once
                 n += np.bincount(w[w >= 0], minlength=size)
         at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], rows))], names=["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["id", "n"])
 
     # one row per subword of the tokenizer, which is a bound
-    found = windows.select("counts").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts, rows = np.zeros(size, np.int64), 0
-    for r in found:
-        if r.id < 0:
-            rows = r.n
-        else:
-            counts[r.id] = r.n
+    counts = np.zeros(size, np.int64)
+    for r in windows.select("counts").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        counts[r.id] = r.n
+    rows = windows.agg(F.sum("windows")).first()[0] or 0
     v = attention.Vocabulary(counts)
     w = attention.start(v, dim)
     trainers = shards_for(rows, windows_each)
-    dealt = scratch.keep(windows.select("counts", F.pmod(F.xxhash64("counts"), F.lit(trainers)).cast("int").alias("trainer")).repartition(trainers, "trainer"), "dealt") if rows else None
-    for i in range(rounds if rows else 0):
+    dealt = windows.select("counts", F.pmod(F.xxhash64("counts"), F.lit(trainers)).cast("int").alias("trainer")).repartition(trainers, "trainer")
+    turns = max(1, min(rounds, rows))
+    for i in range(turns if rows else 0):
         sent = spark.sparkContext.broadcast((v, w))
 
         kind = "trainer int, n long, weights binary"
-        left, part = trainers, dealt.groupBy("trainer").applyInArrow(_learn(sent, rate / (1 + i), i), kind)
+        left, part = trainers, dealt.groupBy("trainer").applyInArrow(_learn(sent, rate / (1 + i), i, turns), kind)
         while left > 1:
             left = -(-left // 16)
             part = part.withColumn("trainer", F.col("trainer") % left).groupBy("trainer").applyInArrow(_mean, kind)
-        w = pickle.loads(part.first().weights)
+        with scratch.action():
+            w = pickle.loads(part.first().weights)
     return v, w
 
 
 DOC = "part long, nth long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
-SCORED = "shard int, docs binary, hashes binary, " + DOC
+#: Rarer words of a batch of documents: their hashes in one shard, and (document, place of the hash, times) of each pair.
+SCORED = "shard int, ask long, hashes binary, docs binary, places binary, times binary, " + DOC
 
 
 def _score(path: str, sent, shards: int):
-    """A row for each document (shard -1), and for each shard a row of its rarer words' occurrences."""
+    """A row for each document (shard -1), and for each batch and shard a row of its rarer words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, log_count, v, w = sent.value
+        known, count, tokens, v, w = sent.value
+        log_count, share = np.log10(count + 0.5), np.append(np.maximum(count - DISCOUNT, 0) / max(1, tokens), 0.0)
+        back = ATTENTION + (1 - ATTENTION) * (1 - share.sum())
         scorer = attention.Scorer(v, w)
         lex, part, nth = lexicon(path), TaskContext.get().partitionId(), 0
         slot = np.zeros(0, np.int64)  # of each word number its place among the frequent, or -1
@@ -294,54 +316,69 @@ def _score(path: str, sent, shards: int):
             there = at >= 0
             base = np.bincount(who[there], log_count[at[there]], len(docs))
             n_known = np.bincount(who[there], minlength=len(docs))
-            ids = [lex.ids(d) for d in docs]
-            score = scorer.score(np.concatenate(ids), np.array([len(x) for x in ids])) / np.log(10)
+            packed = lex.packed_of(flat)
+            pieces = np.array(list(map(len, packed))) // 4
+            ids = np.frombuffer(b"".join(packed), np.uint32).astype(np.int64)
+            lp = scorer.log_probs(ids, np.bincount(who, pieces, len(docs)).astype(np.int64))
+            word = np.add.reduceat(lp, np.cumsum(pieces) - pieces)
+            # place -1, of words that aren't frequent, has the share 0
+            word = np.logaddexp(np.log(back) + word, np.log(np.maximum((1 - ATTENTION) * share[at], 1e-300)))
+            score = np.bincount(who, word, len(docs)) / np.log(10)
             n = len(docs)
-            cols = [pa.array([-1] * n, types[0]), pa.nulls(n, types[1]), pa.nulls(n, types[2]), pa.array([part] * n, types[3]), pa.array(np.arange(nth, nth + n)), b.column("doc_id"), b.column("held_out"), pa.array(size), pa.array(n_known), pa.array(base), pa.array(score)]
+            cols = [pa.array([-1] * n, types[0]), *(pa.nulls(n, t) for t in types[1:6]), pa.array([part] * n), pa.array(np.arange(nth, nth + n)), b.column("doc_id"), b.column("held_out"), pa.array(size), pa.array(n_known), pa.array(base), pa.array(score)]
             yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, types, strict=True)], names=names)
-            rare, doc = h[flat[~there]], (who[~there] + nth).astype(np.int64)
-            order = np.argsort(rare, kind="stable")
+            rare, doc = h[flat[~there]], who[~there] + nth
+            order = np.lexsort((doc, rare))
             rare, doc = rare[order], doc[order]
-            cut = np.searchsorted(_shard(rare, shards), np.arange(shards + 1))
+            fresh = np.append(True, (rare[1:] != rare[:-1]) | (doc[1:] != doc[:-1]))[: len(rare)]
+            at = np.flatnonzero(fresh)
+            times, rare, doc = np.diff(at, append=len(rare)), rare[at], doc[at]
+            first = np.append(True, rare[1:] != rare[:-1])[: len(rare)]
+            hashes, place = rare[first], np.cumsum(first) - 1
+            cut = np.searchsorted(_shard(hashes, shards), np.arange(shards + 1))
+            pairs = np.searchsorted(place, cut)
             some = [s for s in range(shards) if cut[s + 1] > cut[s]]
-            rows = [pa.array(some, types[0]), pa.array([doc[cut[s] : cut[s + 1]].astype(np.uint32).tobytes() for s in some], types[1]), pa.array([rare[cut[s] : cut[s + 1]].tobytes() for s in some], types[2]), pa.array([part] * len(some), types[3])]
-            yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(len(some), t) for t in types[4:])], names=names)
+            blob = lambda x, ends, s, kind: x[ends[s] : ends[s + 1]].astype(kind).tobytes()
+            rows = [some, [nth] * len(some), [blob(hashes, cut, s, np.uint64) for s in some], [blob(doc, pairs, s, np.uint32) for s in some], [blob(place - cut[s], pairs, s, np.uint32) for s in some], [blob(times, pairs, s, np.uint32) for s in some], [part] * len(some)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(rows, types, strict=False)), *(pa.nulls(len(some), t) for t in types[7:])], names=names)
             nth += n
 
     return run
 
 
+ASKED = "part long, ask long, shard int, found binary"
+
+
 def _rare(asks: pa.Table, counts: pa.Table) -> pa.Table:
-    """One shard: of each input partition's rarer words, sums of log counts by document."""
+    """One shard: the counts of the words that each batch asks for."""
     known = np.frombuffer(counts.column("hashes")[0].as_py(), np.uint64) if counts.num_rows else np.zeros(0, np.uint64)
     n = np.frombuffer(counts.column("counts")[0].as_py(), np.int64) if counts.num_rows else np.zeros(0, np.int64)
     out = []
-    parts = asks.column("part").to_numpy()
-    for p in np.unique(parts).tolist():
-        mine = asks.filter(pa.array(parts == p))
-        doc = np.concatenate([np.frombuffer(x, np.uint32) for x in mine.column("docs").to_pylist()])
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in mine.column("hashes").to_pylist()])
+    for blob in asks.column("hashes").to_pylist():
+        h = np.frombuffer(blob, np.uint64)
         at = np.minimum(np.searchsorted(known, h), len(known) - 1) if len(known) else None
-        c = np.where(known[at] == h, n[at], 0) if at is not None else np.zeros(len(h), np.int64)
-        docs, who = np.unique(doc, return_inverse=True)
-        total = np.bincount(who, np.log10(c + 0.5), len(docs))
-        out.append((p, docs.tobytes(), total.tobytes(), np.bincount(who, c > 0, len(docs)).astype(np.int64).tobytes()))
-    return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "docs", "sums", "known"])
+        out.append((np.where(known[at] == h, n[at], 0) if at is not None else np.zeros(len(h), np.int64)).astype(np.int64).tobytes())
+    return pa.table([asks.column("part"), asks.column("ask"), asks.column("shard"), pa.array(out, pa.binary())], names=["part", "ask", "shard", "found"])
 
 
 def _finish(tokens: int, words: int):
     """One input partition's documents, with what the shards found for them."""
     each = np.log10(tokens + 0.5 * (words + 1))
 
-    def run(docs: pa.Table, sums: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        kind = rows.column("shard").to_numpy()
+        docs, asks = rows.filter(pa.array(kind == -1)), rows.filter(pa.array(kind >= 0))
         nth = docs.column("nth").to_numpy()
         base, known = docs.column("base").to_numpy().copy(), docs.column("n_known").to_numpy().copy()
         place = np.zeros(int(nth.max()) + 1 if len(nth) else 1, np.int64)
         place[nth] = np.arange(len(nth))
-        for d, s, k in sorted(zip(*(sums.column(c).to_pylist() for c in ("docs", "sums", "known")), strict=True)):
-            at = place[np.frombuffer(d, np.uint32)]
-            base[at] += np.frombuffer(s, np.float64)
-            known[at] += np.frombuffer(k, np.int64)
+        told = {(a, s): x for a, s, x in zip(*(found.column(c).to_pylist() for c in ("ask", "shard", "found")), strict=True)}
+        # in one order, so that sums come out alike each time
+        for a, s, d, p, t in sorted(zip(*(asks.column(c).to_pylist() for c in ("ask", "shard", "docs", "places", "times")), strict=True)):
+            c = np.frombuffer(told[a, s], np.int64)[np.frombuffer(p, np.uint32)]
+            at, times = place[np.frombuffer(d, np.uint32)], np.frombuffer(t, np.uint32)
+            base += np.bincount(at, times * np.log10(c + 0.5), len(base))
+            known += np.bincount(at, times * (c > 0), len(base)).astype(np.int64)
         size = docs.column("n_tokens").to_numpy()
         train = pa.array(np.full(len(size), tokens))
         return pa.table([docs.column("doc_id"), docs.column("held_out"), docs.column("n_tokens"), pa.array(known), train, pa.array(base - size * each), docs.column("score")], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -349,14 +386,13 @@ def _finish(tokens: int, words: int):
     return run
 
 
-def score_texts(docs: DataFrame, *, tokenizer: str | None = None, dim: int = DIM, rounds: int = ROUNDS, rate: float = RATE, frequent: int = FREQUENT, shard_mb: float = SHARD_MB, windows_each: int = WINDOWS_EACH, least_windows: int | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, *, tokenizer: str | None = None, dim: int = DIM, rounds: int = ROUNDS, rate: float = RATE, frequent: int = FREQUENT, shard_mb: float = SHARD_MB, windows_each: int = WINDOWS_EACH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     Scores are log10 probabilities of the whole text. Null and empty texts are one token,
     the end. A null doc_id is not held out, so it trains; repeated rows train and are
     scored each. Without training rows the base knows no token and the model is uniform.
-    No rows: none back. Columns other than doc_id and text are not read. `least_windows`
-    has no effect: all windows are trained on.
+    No rows: none back. Columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
@@ -375,14 +411,14 @@ def score_texts(docs: DataFrame, *, tokenizer: str | None = None, dim: int = DIM
     least = max(1, -(-tokens // frequent))
     often = summed.select("hashes", "counts").mapInArrow(_frequent(least), "hashes binary, counts binary").collect()
     known = np.concatenate([np.frombuffer(r.hashes, np.uint64) for r in often] or [np.zeros(0, np.uint64)])
-    log_count = np.log10(np.concatenate([np.frombuffer(r.counts, np.int64) for r in often] or [np.zeros(0, np.int64)]) + 0.5)
+    count = np.concatenate([np.frombuffer(r.counts, np.int64) for r in often] or [np.zeros(0, np.int64)])
     order = np.argsort(known)
-    sent = spark.sparkContext.broadcast((known[order], log_count[order], v, w))
+    sent = spark.sparkContext.broadcast((known[order], count[order], tokens, v, w))
     scored = scratch.keep(rows.mapInArrow(_score(path, sent, shards), SCORED), "scored")
-    asks = scored.where("shard >= 0").select("shard", "part", "docs", "hashes").repartition(shards, "shard")
-    sums = asks.groupBy("shard").cogroup(summed.select("shard", "hashes", "counts").groupBy("shard")).applyInArrow(_rare, "part long, docs binary, sums binary, known binary")
-    done = scored.where("shard = -1").select(*[x.split()[0] for x in DOC.split(", ")]).groupBy("part").cogroup(sums.groupBy("part"))
-    return done.applyInArrow(_finish(tokens, words), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    asks = scored.where("shard >= 0").select("shard", "part", "ask", "hashes").repartition(shards, "shard")
+    found = asks.groupBy("shard").cogroup(summed.select("shard", "hashes", "counts").groupBy("shard")).applyInArrow(_rare, ASKED)
+    rows = scored.select("shard", "ask", "docs", "places", "times", *[x.split()[0] for x in DOC.split(", ")])
+    return rows.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_finish(tokens, words), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,7 +230,7 @@ def test_near_copies(spark):
 
 
 def test_language_model_base(spark, docs, empty, wide):
-    small = {"frequent": 40, "shard_mb": 0.005, "windows_each": 40, "least_windows": 100}
+    small = {"frequent": 40, "shard_mb": 0.005, "windows_each": 40}
     rows = docs.collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     count = Counter()
@@ -255,24 +255,32 @@ def test_language_model_trains_on_all_text():
     texts = [" ".join(f"w{i}" for i in range(9000)), None, "one"]
     out = list(language_model._count(path, 1)(iter([pa.RecordBatch.from_pydict({"text": texts})])))
     blobs = [x for b in out for k, x in zip(b.column("kind").to_pylist(), b.column("counts").to_pylist(), strict=True) if k == 1]
-    got = np.concatenate([language_model._windows(x) for x in blobs])
     lex = language_model.lexicon(path)
+    got = np.concatenate([language_model._windows(x, lex.size) for x in blobs])
     want = np.concatenate([lex.ids(lex.numbers(t)) for t in texts])
     goals, before = got[:, 1:].ravel(), got[:, :-1].ravel()
     assert goals[goals >= 0].tolist() == want.tolist()
     assert before[goals >= 0].tolist() == [-1, *want[:-4].tolist(), -1, -1, want[-2]]
 
 
-def test_language_model_rounds_see_all_windows(spark):
-    """A round's trainer takes all its windows; a scored subword sees 8 others at least, inside a text."""
+def test_language_model_rounds_make_up_all_windows(spark, monkeypatch):
+    """The parts of a trainer's windows over all rounds are its windows; a scored subword sees 8 others at least, inside a text."""
     v = attention.Vocabulary(np.arange(20, 0, -1))
     w = attention.start(v, 4)
-    windows = np.random.default_rng(2).integers(0, 20, (50, attention.WINDOW + 1)).astype(np.int32)
-    table = pa.table({"trainer": [0, 0], "counts": [windows[:20].tobytes(), windows[20:].tobytes()]})
-    for i in range(language_model.ROUNDS):
-        got = language_model._learn(spark.sparkContext.broadcast((v, w)), 0.01, i)(table)
-        assert got.column("n")[0].as_py() == 50
-    assert language_model.ROUNDS >= 3 and attention.CONTEXT >= 8 and attention.WINDOW >= 32
+    windows = np.random.default_rng(2).integers(0, 20, (50, attention.WINDOW + 1)).astype(language_model.packed_type(v.size))
+    table = pa.table({"trainer": [0, 0], "counts": [(windows[:20] + 2).tobytes(), (windows[20:] + 2).tobytes()]})
+    seen = []
+    monkeypatch.setattr(attention, "train", lambda v, w, part, **_: seen.append(part) or w)
+    n = [language_model._learn(spark.sparkContext.broadcast((v, w)), 0.01, i, 3)(table).column("n")[0].as_py() for i in range(3)]
+    assert sum(n) == 50 and sorted(map(tuple, np.concatenate(seen).tolist())) == sorted(map(tuple, windows.tolist()))
+    assert attention.CONTEXT >= 8 and attention.WINDOW >= 32
+
+
+def test_language_model_beats_the_base(spark):
+    """On held-out texts of known words the model is likelier than word counts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language_model.score_texts(docs).where("held_out and n_known = n_tokens and n_tokens > 1").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert got.n > 20 and got.score > got.base
 
 
 def test_attention_windows_and_gradient():
