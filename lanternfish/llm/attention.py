@@ -172,80 +172,118 @@ class Scorer:
         return total
 
 
-def train(v: Vocabulary, w: dict[str, np.ndarray], windows: np.ndarray, *, rate: float, batch: int = 128, least_steps: int = 300, seed: int = 0) -> dict[str, np.ndarray]:
+class Goals:
+    """Windows (n, WINDOW + 1) of ids as embedding rows of the inputs, and class and place of the token after each."""
+
+    def __init__(self, v: Vocabulary, windows: np.ndarray):
+        ids, goal = windows[:, :-1], windows[:, 1:]
+        self.rows = np.where(ids == -2, v.seen + 1, _rows(v, np.maximum(ids, -1))).astype(np.int32)
+        ranks = v.rank[np.maximum(goal, 0)]
+        known = np.minimum(ranks, v.seen) // v.width
+        self.cls = np.where(goal < 0, -1, np.where(ranks >= v.seen, v.classes, known)).astype(np.int16 if v.classes < 30_000 else np.int32)
+        self.place = np.minimum(ranks - known * v.width, v.width - 1).astype(self.cls.dtype)
+
+    def part(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.rows[at], self.cls[at], self.place[at]
+
+
+def train(v: Vocabulary, w: dict[str, np.ndarray], windows: np.ndarray, *, rate: float, batch: int = 256, least_steps: int = 300, seed: int = 0) -> dict[str, np.ndarray]:
     """Adam over windows (n, WINDOW + 1) of ids, -1 before a text's start, -2 after its end.
 
-    One pass over all windows, or as many as make `least_steps`.
+    One pass over all windows, or as many as make `least_steps`; where windows are few, batches are smaller.
     """
     w = {k: x.copy() for k, x in w.items()}
     m, s = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
     rng = np.random.default_rng(seed)
+    batch = int(np.clip(len(windows) // least_steps, 128, batch))
     passes = max(1, -(-least_steps * batch // max(1, len(windows))))
     order = np.concatenate([rng.permutation(len(windows)) for _ in range(passes)])
     steps = -(-len(order) // batch)
+    goals = Goals(v, windows)
     for i in range(steps):
-        part = windows[order[i * batch : (i + 1) * batch]]
-        grad = gradient(v, w, part)
+        grad = gradient(v, w, *goals.part(order[i * batch : (i + 1) * batch]))
         lr = rate * min(1.0, (i + 1) / 20) * (1 - 0.9 * i / steps)
+        far, near = lr / (1 - 0.9 ** (i + 1)), 1 / (1 - 0.98 ** (i + 1))
         for k, g in grad.items():
-            m[k] += 0.1 * (g - m[k])
-            s[k] += 0.02 * (g * g - s[k])
-            w[k] -= lr * (m[k] / (1 - 0.9 ** (i + 1))) / (np.sqrt(s[k] / (1 - 0.98 ** (i + 1))) + 1e-8)
+            m[k] += np.float32(0.1) * (g - m[k])
+            s[k] += np.float32(0.02) * (g * g - s[k])
+            w[k] -= np.float32(far) * m[k] / (np.sqrt(s[k] * np.float32(near)) + np.float32(1e-8))
     return w
 
 
-def gradient(v: Vocabulary, w: dict[str, np.ndarray], part: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradient of the mean negative log probability of the windows' tokens."""
-    ids, goal = part[:, :-1], part[:, 1:]
-    rows = np.where(ids == -2, v.seen + 1, _rows(v, np.maximum(ids, -1)))
+def _softmax(z: np.ndarray, small: bool) -> np.ndarray:
+    """Softmax over the last axis, in place; small: no value is large, so none need be taken off."""
+    if not small:
+        z -= z.max(axis=-1, keepdims=True)
+    np.exp(z, out=z)
+    z /= (z.reshape(-1, z.shape[-1]) @ np.ones(z.shape[-1], z.dtype)).reshape(*z.shape[:-1], 1)
+    return z
+
+
+def gradient(v: Vocabulary, w: dict[str, np.ndarray], rows: np.ndarray, cls: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the mean negative log probability of the windows' tokens; arguments as Goals gives them."""
     dim = w["emb"].shape[1]
     x = w["emb"][rows]
     root = float(np.sqrt(dim))  # a NumPy scalar would make all that follows double
-    q, k, val = x @ w["q"] / root, x @ w["k"], x @ w["v"]
-    a, c = _attend(q, k, val, w["far"])
-    h = x + c
-    live = goal >= 0
-    hl, ranks = h[live], v.rank[goal[live]]
+    wide = x @ np.hstack([w["q"] / root, w["k"], w["v"]])
+    q, k, val = wide[..., :dim], wide[..., dim : 2 * dim], wide[..., 2 * dim :]
+    norm = lambda t: float(np.sqrt((t * t).sum(axis=-1).max())) if t.size else 0.0
+    small = norm(q) * norm(k) + float(np.abs(w["far"]).max()) < 60
+    lag = _LAG[: rows.shape[1], : rows.shape[1]]
+    a = q @ k.transpose(0, 2, 1)
+    a += np.where(lag >= 0, w["far"][np.abs(lag)], -1e9).astype(a.dtype)
+    a = _softmax(a, small)
+    c = a @ val
+    h = (x + c).reshape(-1, dim)
+    # tokens in order of class, so that each class is one matrix product; those after a text's end drop out
+    cls = cls.ravel()
+    order = np.argsort(cls, kind="stable")
+    cut = np.searchsorted(cls[order], np.arange(v.classes + 2))
+    order = order[cut[0] :]
+    cut = (cut - cut[0]).tolist()
+    hl, cls, place = h[order], cls[order].astype(np.int64), place.ravel()[order]
     n = max(1, len(hl))
-    cls = np.where(ranks >= v.seen, v.classes, np.minimum(ranks, v.seen) // v.width)
-    z = hl @ w["cls"] + w["cls_b"]
-    z -= z.max(axis=1, keepdims=True)
-    p = np.exp(z)
-    p /= p.sum(axis=1, keepdims=True)
-    p[np.arange(len(p)), cls] -= 1
-    p /= n
-    g = {"cls": hl.T @ p, "cls_b": p.sum(axis=0), "out": np.zeros_like(w["out"]), "out_b": np.zeros_like(w["out_b"])}
+    line = np.arange(len(hl))
+    size = norm(hl)
+    p = hl @ w["cls"]
+    p += w["cls_b"]
+    p = _softmax(p, size * norm(w["cls"].T) + float(np.abs(w["cls_b"]).max()) < 60)
+    p[line, cls] -= 1
+    p /= p.dtype.type(n)
+    g = {"cls": hl.T @ p, "cls_b": np.ones(len(p), p.dtype) @ p, "out": np.zeros_like(w["out"]), "out_b": np.zeros_like(w["out_b"])}
     gh = p @ w["cls"].T
-    order = np.argsort(cls, kind="stable")
-    cut = np.searchsorted(cls[order], np.arange(v.classes + 1))
-    for j in range(v.classes):
-        at = order[cut[j] : cut[j + 1]]
-        if len(at):
-            z = hl[at] @ w["out"][j].T + w["out_b"][j]
-            z -= z.max(axis=1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(at)), ranks[at] - j * v.width] -= 1
-            p /= n
-            g["out"][j], g["out_b"][j] = p.T @ hl[at], p.sum(axis=0)
-            gh[at] += p @ w["out"][j]
+    known = cut[v.classes]
+    inner = np.empty((known, v.width), hl.dtype)
+    live = [j for j in range(v.classes) if cut[j + 1] > cut[j]]
+    for j in live:
+        np.matmul(hl[cut[j] : cut[j + 1]], w["out"][j].T, out=inner[cut[j] : cut[j + 1]])
+    inner += w["out_b"][cls[:known]]
+    inner = _softmax(inner, size * norm(w["out"]) + float(np.abs(w["out_b"]).max()) < 60)
+    inner[line[:known], place[:known]] -= 1
+    inner /= inner.dtype.type(n)
+    for j in live:
+        at = slice(cut[j], cut[j + 1])
+        g["out"][j] = inner[at].T @ hl[at]
+        g["out_b"][j] = np.ones(cut[j + 1] - cut[j], inner.dtype) @ inner[at]
+        gh[at] += inner[at] @ w["out"][j]
     dh = np.zeros_like(h)
-    dh[live] = gh
+    dh[order] = gh
+    dh = dh.reshape(x.shape)
     da = dh @ val.transpose(0, 2, 1)
-    dval = a.transpose(0, 2, 1) @ dh
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    # the sum of a row of a * da is the product of the row's own dh and context
+    da -= (dh * c).sum(axis=2, keepdims=True)
+    da *= a
     far = np.zeros(WINDOW, np.float64)
-    lag = _LAG[: ids.shape[1], : ids.shape[1]]
-    both = ds.sum(axis=0)
+    both = da.sum(axis=0)
     np.add.at(far, lag[lag >= 0], both[lag >= 0])
-    dq, dk = ds @ k / root, ds.transpose(0, 2, 1) @ q
-    flat = lambda t: t.reshape(-1, dim)
-    g["q"], g["k"], g["v"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dval)
-    dx = dh + dq @ w["q"].T + dk @ w["k"].T + dval @ w["v"].T
+    d = np.concatenate([da @ k / root, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh], axis=2).reshape(-1, 3 * dim)
+    side = x.reshape(-1, dim).T @ d
+    g["q"], g["k"], g["v"] = side[:, :dim], side[:, dim : 2 * dim], side[:, 2 * dim :]
+    dx = dh.reshape(-1, dim) + d @ np.hstack([w["q"], w["k"], w["v"]]).T
     emb = np.zeros_like(w["emb"])
-    order = np.argsort(rows.ravel(), kind="stable")
-    line = rows.ravel()[order]
-    begin = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
-    emb[line[begin]] = np.add.reduceat(flat(dx)[order], begin, axis=0)
-    g["emb"], g["far"] = emb, far.astype(np.float32)
+    by = np.argsort(rows.ravel(), kind="stable")
+    row = rows.ravel()[by]
+    begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    emb[row[begin]] = np.add.reduceat(dx[by], begin, axis=0)
+    g["emb"], g["far"] = emb, far
     return {k: x.astype(np.float32) for k, x in g.items()}

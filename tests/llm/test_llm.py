@@ -318,7 +318,7 @@ def test_attention_windows_and_gradient():
     def loss(w):
         return -sum(attention.Scorer(v, w).score(r[1:], np.array([attention.WINDOW]))[0] for r in part)
 
-    g = attention.gradient(v, w, part)
+    g = attention.gradient(v, w, *attention.Goals(v, part).part(np.arange(len(part))))
     short = [r for r in part]
     assert len(short) == 4
     for name in ("cls", "out_b", "emb"):
