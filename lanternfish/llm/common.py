@@ -49,6 +49,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+        # a task has one core: Spark would let each worker's matrix products run on all of an executor's
+        spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
