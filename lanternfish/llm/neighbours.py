@@ -40,7 +40,7 @@ TABLES, WIDTH = 3, 2.5
 COARSE = 4
 #: Share of the sample's neighbours to find, queries in it, and buckets a table at most.
 RECALL, TRIAL, MOST = 0.96, 48, 16_000
-PER_BLOCK = 16_384
+PER_BLOCK = 4096
 
 
 def classes(base: DataFrame, keep: int, scratch: Scratch) -> DataFrame:
@@ -310,9 +310,11 @@ def found_by(vectors: DataFrame, every: int, top: int, tables: int, width: float
     cells = _fit(cls, asked, keep, scratch, tables, width, recall, trial, most, sample)
     columns = ["class_id", "dim", "embedding"]
     rows = cls.select(columns).mapInArrow(_hash(cells, False), SEAT)
-    visits = asked.select(columns).repartition("class_id").mapInArrow(_hash(cells, True), SEAT)
+    # a query's list of probes is long to make: few to a task, and made once
+    visits = asked.select(columns).repartition(shards_for(asked.count(), 64), "class_id").mapInArrow(_hash(cells, True), SEAT)
+    visits = scratch.keep(visits, "visits", rows=64)
     cell = ["table", "coarse"]
-    # both are hashed twice, which is cheaper than to write them: a row comes once a table, with its vector
+    # rows are hashed twice, which is cheaper than to write them: each comes once a table, with its vector
     crowd = rows.groupBy(*cell).agg(F.count("*").alias("h")).join(visits.groupBy(*cell).agg(F.count("*").alias("g")), cell)
     crowd = scratch.keep(crowd.selectExpr(*cell, f"cast(ceil(h / {per_block}) as int) as hs", f"cast(ceil(g / {per_block}) as int) as gs"), "crowd", rows=2000)
     salt = "case when probes is null then transform(sequence(0, gs - 1), j -> named_struct('a', cast(pmod(xxhash64(class_id), hs) as int), 'b', j)) else transform(sequence(0, hs - 1), j -> named_struct('a', j, 'b', cast(pmod(xxhash64(class_id), gs) as int))) end"
