@@ -217,7 +217,9 @@ def test_near_copies(spark):
     near = [[j for j, b in enumerate(sets) if alike(a, b)] for a in sets]
     want = brute_components(list(range(len(texts))), near)
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(None, texts[8], None, None, None), (None, "z y", None, None, None)], DOCS)
-    got = near_copies.keep_one(df)
+    for per_block in (3, 2000):
+        got = near_copies.keep_one(df, per_block=per_block)
+        assert Counter(r.doc_id for r in got.collect()) == Counter([*set(want), None])
     assert got.columns == df.columns
     kept = [r.doc_id for r in got.collect()]
     assert kept.count(None) == 1 and {i for i in kept if i is not None} == set(want) and len(kept) == len(set(want)) + 1
