@@ -67,7 +67,12 @@ def name_index(basics: DataFrame, akas: DataFrame | None = None) -> DataFrame:
 def token_index(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(token, tconst, key, is_series) of tokens over one character, and (token, df)."""
     tokens = names.select(F.explode(F.array_distinct(F.split("key", " "))).alias("token"), "tconst", "key", "is_series").where(F.length("token") > 1)
-    return tokens, tokens.groupBy("token").agg(F.count_distinct("tconst").alias("df"))
+    return tokens, token_df(tokens)
+
+
+def token_df(tokens: DataFrame) -> DataFrame:
+    """(token, df): how many titles have the token."""
+    return tokens.groupBy("token").agg(F.count_distinct("tconst").alias("df"))
 
 
 def exact_hits(ents: DataFrame, names: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -90,11 +95,11 @@ def exact_stage(ents: DataFrame, names: DataFrame, ratings: DataFrame) -> DataFr
     h = h.withColumn("n", F.count("*").over(mine)).withColumn("n_same", F.count_if("same").over(mine)).withColumn("n_near", F.count_if("near").over(mine))
     n, n_same, n_near = (F.col(c) for c in ("n", "n_same", "n_near"))
     tie = F.when(n == 1, F.lit("none")).when(n_same == 1, F.lit("year")).when(n_near == 1, F.lit("year_within_one")).otherwise(F.lit("votes"))
-    pool = F.when(n == 1, F.lit(True)).when(n_same >= 1, F.when((n_same == 1) | (n_same > 1), F.col("same"))).when(n_near >= 1, F.col("near")).otherwise(F.lit(True))
-    # a single match within one year comes before several in the same year only if there is none in it
+    # a single one in the same year, else a single one within a year; else votes decide among those of the nearest kind
+    pool = F.when(n == 1, F.lit(True)).when(n_same == 1, F.col("same")).when(n_near == 1, F.col("near")).when(n_same > 1, F.col("same")).when(n_near > 1, F.col("near")).otherwise(F.lit(True))
     by_votes = mine.orderBy(F.desc("votes"), "tconst")
     h = h.withColumn("tie_break", tie).withColumn("runner_up_votes", F.nth_value("votes", 2).over(by_votes.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    h = h.withColumn("pool", F.when((n > 1) & (n_same != 1) & (n_near == 1), F.col("near")).otherwise(pool)).where("pool")
+    h = h.withColumn("pool", pool).where("pool")
     h = h.withColumn("r", F.row_number().over(by_votes)).where("r = 1")
     return h.select("title_id", F.concat(F.lit("catalogue_"), "rung").alias("stage"), "rung", "tie_break", "tconst", "type", "start_year", "key_source", "votes", F.col("n").alias("tconst_candidates"), F.lit(100.0).alias("score"), "runner_up_votes")
 
@@ -122,9 +127,13 @@ def fuzzy_stage(residue: DataFrame, tokens: DataFrame, freq: DataFrame, threshol
 
 def resolve(ents: DataFrame, names: DataFrame, ratings: DataFrame, threshold: float = 87.0) -> DataFrame:
     """Every entity with how it was matched, or why not; a near miss keeps its candidate apart."""
-    exact = exact_stage(ents, names, ratings)
+    return resolved(ents, exact_stage(ents, names, ratings), *token_index(names), threshold)
+
+
+def resolved(ents: DataFrame, exact: DataFrame, tokens: DataFrame, freq: DataFrame, threshold: float = 87.0) -> DataFrame:
+    """resolve() from the exact stage and the token index, which may have been kept."""
     residue = ents.join(exact.select("title_id"), "title_id", "left_anti")
-    fuzzy = fuzzy_stage(residue, *token_index(names), threshold=threshold).where("rank = 1").select("title_id", "stage", "tconst", "score")
+    fuzzy = fuzzy_stage(residue, tokens, freq, threshold=threshold).where("rank = 1").select("title_id", "stage", "tconst", "score")
     stages = exact.unionByName(fuzzy, allowMissingColumns=True)
     out = ents.select("title_id", "kind", "key", "year", "seasons").join(stages, "title_id", "left").withColumn("stage", F.coalesce("stage", F.lit("unmatched")))
     matched = F.startswith(F.col("stage"), F.lit("catalogue_"))

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from lanternfish.functions import titles as T
 
+from .store import kept
+
 PERIODS = [(f"{y}H{h}", dt.date(y, 1 + 6 * (h - 1), 1), dt.date(y, 6, 30) if h == 1 else dt.date(y, 12, 31)) for y in range(1995, 2002) for h in (1, 2)]
 
 
@@ -60,8 +62,12 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """titles with name_key, year and title_id."""
-    t = titles(spark, sf_dir).withColumn("p", T.parse(F.col("title")))
+    """titles with parsed p, name_key, year and title_id; parsed once a session, in as many tasks as there are cores."""
+    return kept(spark, sf_dir, "keyed_titles", lambda: _keyed(titles(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)))
+
+
+def _keyed(t: DataFrame) -> DataFrame:
+    t = t.withColumn("p", T.parse(F.col("title")))
     key = F.when(F.col("kind") == "film", T.normalise(T.without_year(F.col("p.primary")))).otherwise(T.normalise(F.col("p.base")))
     t = t.withColumn("name_key", key).withColumn("year", F.coalesce("p.year", F.year("release_date")))
     return t.withColumn("title_id", T.title_id(F.col("kind"), F.col("name_key"), F.col("year")))

@@ -10,6 +10,7 @@ from lanternfish.operators import ladder as L
 from . import analogue as A
 from .analogue import SQL
 from .registry import query
+from .store import kept
 
 
 def basics(spark, d):
@@ -24,10 +25,17 @@ def basics(spark, d):
 
 
 def names(spark, d):
+    """The name index, kept: every query that resolves reads it."""
     b = basics(spark, d)
     w = F.split("p_name", " ")
     akas = b.select("tconst", F.concat(w[1], F.lit(" "), w[0]).alias("title"))
-    return C.name_index(b, akas)
+    return kept(spark, d, "names", lambda: C.name_index(b, akas))
+
+
+def tokens(spark, d):
+    """The token index and document frequencies, kept beside the name index."""
+    index = kept(spark, d, "tokens", lambda: C.token_index(names(spark, d))[0])
+    return index, kept(spark, d, "token_df", lambda: C.token_df(index))
 
 
 def ratings(spark, d):
@@ -36,7 +44,7 @@ def ratings(spark, d):
 
 def ents(spark, d):
     t = A.titles(spark, d).select("kind", "title", "release_date", F.concat(F.lit("199"), (F.col("part") % 5 + 5).cast("string"), F.lit("H1")).alias("period"), F.col("p_size").cast("long").alias("hours"), F.lit(1).cast("long").alias("views"), F.col("part").alias("row_no"))
-    return C.entities(t)
+    return kept(spark, d, "entities", lambda: C.entities(t.repartition(spark.sparkContext.defaultParallelism)))
 
 
 CATALOGUE = (
@@ -95,7 +103,7 @@ def name_index(spark, d):
 
 @query("token_df", CATALOGUE + "SELECT token, df FROM freq")
 def token_df(spark, d):
-    return C.token_index(names(spark, d))[1]
+    return tokens(spark, d)[1]
 
 
 @query("entity_pool", CATALOGUE + """SELECT e.title_id, e.kind, e.key, e.year, arg_min(k.title, k.part) AS example_title, CAST(to_json(list(DISTINCT CAST(CASE WHEN k.kind = 'tv' THEN k.season_number END AS INTEGER) ORDER BY CAST(CASE WHEN k.kind = 'tv' THEN k.season_number END AS INTEGER)) FILTER (WHERE k.kind = 'tv' AND k.season_number IS NOT NULL)) AS VARCHAR) AS seasons, count(DISTINCT k.part % 5) AS n_periods, CAST(sum(k.p_size) AS BIGINT) AS hours FROM ents e JOIN keyed_titles k USING (title_id) GROUP BY ALL""")
@@ -105,7 +113,7 @@ def entity_pool(spark, d):
 
 
 def exact(spark, d):
-    return C.exact_stage(ents(spark, d), names(spark, d), ratings(spark, d))
+    return kept(spark, d, "exact", lambda: C.exact_stage(ents(spark, d), names(spark, d), ratings(spark, d)))
 
 
 @query("exact_ladder", CATALOGUE + "SELECT * FROM exact")
@@ -133,7 +141,7 @@ def close_contests(spark, d):
 
 def fuzzy(spark, d):
     residue = ents(spark, d).join(exact(spark, d).select("title_id"), "title_id", "left_anti")
-    return C.fuzzy_stage(residue, *C.token_index(names(spark, d)))
+    return C.fuzzy_stage(residue, *tokens(spark, d))
 
 
 @query("fuzzy_topk", CATALOGUE + "SELECT title_id, ent_key, tconst, key, score, CAST(rank AS INTEGER) AS rank, pool, CASE WHEN score >= 87 THEN 'catalogue_fuzzy' ELSE 'near_miss' END AS stage FROM scored WHERE rank <= 3")
@@ -164,25 +172,83 @@ reported AS (SELECT title_id, max(season_number) AS top FROM keyed_titles WHERE
 SELECT e.title_id, x.tconst, m.max_season, CASE WHEN r.top IS NOT NULL AND m.max_season IS NOT NULL THEN r.top <= m.max_season END AS seasons_present
 FROM ents e JOIN exact x USING (title_id) LEFT JOIN most m USING (tconst) LEFT JOIN reported r USING (title_id)""")
 def season_validation(spark, d):
-    li = A.table(spark, d, "lineitem")
-    episodes = li.select(F.concat(F.lit("tt"), F.lpad(F.col("l_partkey").cast("string"), 7, "0")).alias("parent"), F.col("l_linenumber").alias("season"))
+    """Line items are summed by part before a part becomes a catalogue id."""
+    li = A.table(spark, d, "lineitem").groupBy("l_partkey").agg(F.max("l_linenumber").alias("season"))
+    episodes = li.select(F.concat(F.lit("tt"), F.lpad(F.col("l_partkey").cast("string"), 7, "0")).alias("parent"), "season")
     m = ents(spark, d).select("title_id", "kind", "seasons").join(exact(spark, d).select("title_id", "tconst"), "title_id")
     return C.validate_seasons(m, episodes).select("title_id", "tconst", "max_season", "seasons_present")
 
 
-@query("resolve")
+@query("resolve", CATALOGUE + """
+SELECT e.title_id, coalesce(x.stage, CASE WHEN s.score >= 87 THEN 'catalogue_fuzzy' WHEN s.score IS NOT NULL THEN 'near_miss' END, 'unmatched') AS stage, x.stage IS NOT NULL OR coalesce(s.score >= 87, false) AS matched,
+  CASE WHEN x.stage IS NOT NULL THEN x.tconst WHEN s.score >= 87 THEN s.tconst END AS tconst, CASE WHEN x.stage IS NULL AND s.score < 87 THEN s.tconst END AS rejected_candidate, CASE WHEN x.stage IS NOT NULL THEN 100.0::DOUBLE ELSE CAST(s.score AS DOUBLE) END AS score
+FROM ents e LEFT JOIN exact x USING (title_id) LEFT JOIN (SELECT * FROM scored WHERE rank = 1) s USING (title_id)""")
 def resolve(spark, d):
-    """The whole resolution; its parts have oracles of their own."""
-    r = C.resolve(ents(spark, d), names(spark, d), ratings(spark, d))
+    """The whole resolution: exact rungs, then the fuzzy stage on the residue."""
+    r = C.resolved(ents(spark, d), exact(spark, d), *tokens(spark, d))
     return r.select("title_id", "stage", "matched", "tconst", "rejected_candidate", F.round("score", 6).alias("score"))
 
 
-@query("chart_ladder")
+@query("weak_rungs", SQL + r""",
+one AS (SELECT p_name, min(p_partkey) AS part FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1 HAVING count(*) = 1)
+SELECT part, 'qualifier_dropped' AS rung, 'tt' || lpad(CAST(part AS VARCHAR), 7, '0') AS tconst FROM one WHERE part % 2 = 0
+UNION ALL SELECT part, 'prefix', 'tt' || lpad(CAST(part AS VARCHAR), 7, '0') FROM one WHERE part % 2 = 1""")
+def weak_rungs(spark, d):
+    """The two weakest rungs: a series reported with a country, or with the name of an arc, that the catalogue lacks."""
+    one = A.table(spark, d, "part").where("p_partkey % 3 <> 0").groupBy("p_name").agg(F.min("p_partkey").alias("part"), F.count("*").alias("n")).where("n = 1")
+    title = F.when(F.col("part") % 2 == 0, F.concat("p_name", F.lit(" (Q.Z.): Season 1"))).otherwise(F.concat("p_name", F.lit(": The Qz Arc: Season 2")))
+    rows = one.select(F.lit("tv").alias("kind"), title.alias("title"), F.lit(None).cast("date").alias("release_date"), F.lit("1995H1").alias("period"), F.lit(1).cast("long").alias("hours"), F.lit(1).cast("long").alias("views"), F.col("part").alias("row_no"))
+    cat = one.select(F.concat(F.lit("tt"), F.lpad(F.col("part").cast("string"), 7, "0")).alias("tconst"), F.lit("tvSeries").alias("type"), F.lit(None).cast("int").alias("start_year"), F.lit(True).alias("is_series"), F.col("p_name").alias("primary_title"), F.col("p_name").alias("original_title"))
+    e = C.entities(rows)
+    hit = C.exact_stage(e, C.name_index(cat), cat.select("tconst", F.lit(1).alias("votes")))
+    part = e.select("title_id", F.substring("example_title", 1, 1000).alias("t")).join(one.select("part", title.alias("t")), "t")
+    return hit.join(part, "title_id").select("part", "rung", "tconst")
+
+
+def _typo(name):
+    """Every 64th part's chart name ends in a double letter: only the fuzzy rung can match it."""
+    return F.when(F.col("part") % 64 == 7, F.concat(name, F.substring(name, -1, 1))).otherwise(name)
+
+
+CHART = (
+    SQL
+    + r""",
+sides AS (
+  SELECT part, 'H' || (part % 2) AS period, kind, year_text, trim(regexp_replace(lower(base), '[^a-z0-9]+', ' ', 'g')) AS key,
+    CASE WHEN part % 8 = 6 THEN lower(split_part(title, ' // ', 2)) END AS other,
+    CASE part % 8 WHEN 0 THEN 'season|' || (p_size % 9 + 1) || '||' WHEN 1 THEN 'season|' || (p_size % 9 + 1) || '||' WHEN 2 THEN 'limited|||' WHEN 3 THEN 'part|' || (p_size % 9 + 1) || '||'
+      WHEN 4 THEN 'season|' || (p_size % 9 + 1) || '|' || (p_size % 3 + 1) || '|' WHEN 5 THEN 'season|' || (p_size % 9 + 1) || '||' ELSE '|||' END AS season
+  FROM named),
+l AS (SELECT part AS id, period, kind, year_text AS year, other, CASE WHEN part % 8 = 2 THEN '|||' ELSE season END AS season, CASE WHEN part % 64 = 7 THEN key || right(key, 1) ELSE key END AS key FROM sides),
+r AS (SELECT part AS right_id, period, kind, year_text AS r_year, key AS r_key, other AS r_other, season AS r_season FROM sides),
+lk AS (SELECT id, period, kind, year, season, 0 AS pos, key AS k FROM l UNION ALL SELECT id, period, kind, year, season, 1, other FROM l WHERE other IS NOT NULL AND other <> key),
+rk AS (SELECT right_id, period, kind, r_year, r_season, r_key AS k FROM r UNION ALL SELECT right_id, period, kind, r_year, r_season, r_other FROM r WHERE r_other IS NOT NULL AND r_other <> r_key),
+ex AS (SELECT id, year, right_id, r_year, 'exact' AS stage FROM l JOIN r USING (period, kind) WHERE key = r_key AND season = r_season),
+alt0 AS (SELECT id, year, right_id, r_year, pos, min(pos) OVER (PARTITION BY id) AS first FROM lk JOIN rk USING (period, kind, k) WHERE season = r_season AND id NOT IN (SELECT id FROM ex)),
+hits0 AS (SELECT * FROM ex UNION ALL SELECT id, year, right_id, r_year, 'alternate' FROM alt0 WHERE pos = first),
+hits1 AS (SELECT *, count(*) OVER (PARTITION BY id) AS n, count(*) FILTER (WHERE year <> '' AND r_year = year) OVER (PARTITION BY id) AS dated FROM hits0),
+hits2 AS (SELECT id, right_id, CASE WHEN n > 1 AND dated > 0 THEN 'year' ELSE stage END AS stage, CASE WHEN n > 1 AND dated > 0 THEN dated ELSE n END AS candidates FROM hits1 WHERE NOT (n > 1 AND dated > 0) OR (year <> '' AND r_year = year)),
+equiv AS (
+  SELECT id, pos, count(*) AS candidates, min(right_id) AS right_id FROM lk JOIN rk USING (period, kind, k)
+  WHERE id NOT IN (SELECT id FROM hits2) AND season IN ('|||', 'season|1||', 'limited|||') AND r_season IN ('|||', 'season|1||', 'limited|||') GROUP BY id, pos HAVING count(*) = 1),
+settled AS (
+  SELECT id, right_id, stage, candidates FROM hits2
+  UNION ALL SELECT id, right_id, 'season_equiv', candidates FROM equiv QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1),
+sure AS (SELECT id, stage, right_id, 100.0::DOUBLE AS score, candidates, CAST(NULL AS DOUBLE) AS runner_up FROM settled QUALIFY row_number() OVER (PARTITION BY id ORDER BY right_id) = 1),
+rest AS (SELECT l.*, r.right_id, r.r_key, array_to_string(list_sort(string_split(key, ' ')), ' ') AS a, array_to_string(list_sort(string_split(r_key, ' ')), ' ') AS b FROM l JOIN r USING (period, kind) WHERE season = r_season AND id NOT IN (SELECT id FROM sure)),
+near AS (SELECT id, right_id, 200.0 * list_reduce(list_transform(string_split(a, ''), lambda ch: [ascii(ch)]), lambda above, ch: list_reduce(list_transform(range(1, CAST(length(b) + 1 AS BIGINT)), lambda j: [CAST(j AS INTEGER)]), lambda acc, j: list_append(acc, CASE WHEN ascii(b[j[1]]) = ch[1] THEN above[j[1]] + 1 ELSE greatest(above[j[1] + 1], acc[j[1]]) END), [0]), list_transform(range(0, CAST(length(b) + 1 AS BIGINT)), lambda j: 0))[-1] / (length(a) + length(b)) AS score FROM rest),
+best AS (SELECT id, right_id, score, row_number() OVER w AS r, count(*) OVER (PARTITION BY id) AS candidates, lead(score) OVER w AS runner_up FROM near WINDOW w AS (PARTITION BY id ORDER BY score DESC, right_id)),
+every AS (SELECT * FROM sure UNION ALL SELECT id, CASE WHEN score >= 87 THEN 'fuzzy' ELSE 'near_miss' END, right_id, score, candidates, runner_up FROM best WHERE r = 1)
+SELECT l.id AS left_id, coalesce(stage, 'unmatched') AS stage, coalesce(stage, 'unmatched') NOT IN ('near_miss', 'unmatched') AS matched, right_id, round(score, 6) AS score, coalesce(candidates, 0) AS candidates, round(runner_up, 6) AS runner_up FROM l LEFT JOIN every USING (id)"""
+)
+
+
+@query("chart_ladder", CHART)
 def chart_ladder(spark, d):
     """Weekly chart names matched to reported names, blocked by half-year and kind."""
     half = F.concat(F.lit("H"), (F.col("part") % 2).cast("string"))
-    t = A.titles(spark, d).withColumn("period", half)
-    left = t.select(F.col("part").alias("id"), F.when(F.col("part") % 4 == 1, F.replace("title", F.lit("Season"), F.lit("season"))).when(F.col("part") % 8 == 2, F.replace("title", F.lit(": Limited Series"), F.lit(""))).otherwise(F.col("title")).alias("t"), "period", "kind")
-    right = t.select(F.col("part").alias("id"), F.col("title").alias("t"), "period", "kind")
+    t = A.titles(spark, d).withColumn("period", half).repartition(spark.sparkContext.defaultParallelism)
+    chart = F.when(F.col("part") % 4 == 1, F.replace("title", F.lit("Season"), F.lit("season"))).when(F.col("part") % 8 == 2, F.replace("title", F.lit(": Limited Series"), F.lit(""))).otherwise(_typo(F.col("title")))
     block = ["period", "kind"]
-    return L.match(L.candidates(left, "id", "t", block), L.candidates(right, "id", "t", block), block).withColumn("score", F.round("score", 6)).withColumn("runner_up", F.round("runner_up", 6))
+    side = lambda name, title: kept(spark, d, name, lambda: L.candidates(t.select(F.col("part").alias("id"), title.alias("t"), *block), "id", "t", block))
+    return L.match(side("chart_left", chart), side("chart_right", F.col("title")), block).withColumn("score", F.round("score", 6)).withColumn("runner_up", F.round("runner_up", 6))
