@@ -34,17 +34,38 @@ def delivery(rows: DataFrame, least_titles: int, least_charting: int, weight: Co
     return g.where((F.col("titles") >= least_titles) & (F.col("charting") >= least_charting))
 
 
+def numbered(units: DataFrame, unit: str) -> DataFrame:
+    """(unit, i): distinct units numbered from 0 in order.
+
+    Strings are numbered within their first characters, whose counts are a small table, so
+    no task sees all of them; other types take one window, which suits summaries only.
+    """
+    each = units.select(unit).distinct()
+    if each.schema[unit].dataType.simpleString() != "string":
+        return each.withColumn("i", F.row_number().over(Window.orderBy(unit)) - 1)
+    each = each.withColumn("head", F.substring(unit, 1, 5))
+    heads = each.groupBy("head").count()
+    before = F.sum("count").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1))
+    heads = heads.select("head", F.coalesce(before, F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("head").orderBy(unit)) - 1
+    return each.withColumn("nth", nth).join(heads, "head").select(unit, (F.col("before") + F.col("nth")).cast("int").alias("i"))
+
+
 def draws(units: DataFrame, unit: str, replicates: int, seed: str = "s") -> DataFrame:
     """(rep, unit, times): how often each unit is drawn in each replicate, by a hash of the draw.
 
-    Units are numbered in order, so a rerun, or another engine, draws the same.
+    Units are numbered in order, so a rerun, or another engine, draws the same. Replicates
+    are dealt to tasks; each draws its own.
     """
-    numbered = units.select(unit).distinct().withColumn("i", F.row_number().over(Window.orderBy(unit)) - 1)
-    n = numbered.agg(F.count("*").alias("n"))
-    drawn = n.select("n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).where("n > 0").select("rep", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("draw"))
+    spark = units.sparkSession
+    place = numbered(units, unit)
+    n = place.agg(F.count("*").alias("n")).where("n > 0")
+    reps = spark.range(1, replicates + 1, 1, min(replicates, 4 * spark.sparkContext.defaultParallelism)).select(F.col("id").cast("int").alias("rep"))
+    # the other side is one row
+    drawn = reps.crossJoin(F.broadcast(n)).select("rep", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("draw"))
     h = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), F.col("rep").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")
     drawn = drawn.groupBy("rep", (h % F.col("n")).cast("int").alias("i")).agg(F.count("*").alias("times"))
-    return drawn.join(numbered, "i").select("rep", unit, "times")
+    return drawn.join(place, "i").select("rep", unit, "times")
 
 
 def delivery_interval(rows: DataFrame, replicates: int, seed: str = "s") -> DataFrame:
@@ -177,6 +198,40 @@ def placebo(series: DataFrame, key: str = "key", draws_: int = 500, min_pairs: i
     return j.groupBy("draw").agg(corr("dh", "dp").alias("r"), F.count("*").alias("pairs")).where((F.col("pairs") >= min_pairs) & F.col("r").isNotNull()).select("draw", "r")
 
 
+def placebo_summary(series: DataFrame, key: str = "key", min_weeks: int = 8, **args) -> DataFrame:
+    """One row: real same-week correlations beside those of mismatched pairs, and how many real ones pass the 95th percentile."""
+    long = series.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= min_weeks).select(key)
+    some = series.join(long, key, "left_semi")
+    real = differences(some, key).groupBy(key).agg(corr("dh", "dp").alias("r")).where("r is not null")
+    fake = placebo(some, key, **args).agg(F.median("r").alias("placebo_median"), F.count("*").alias("placebo_draws"), F.percentile("r", F.lit(0.95)).alias("placebo_p95"))
+    # the placebo side is one row
+    return real.crossJoin(F.broadcast(fake)).groupBy("placebo_median", "placebo_draws", "placebo_p95").agg(F.count("*").alias("n_titles"), F.median("r").alias("real_median"), F.count_if(F.col("r") > F.col("placebo_p95")).alias("real_above_p95"))
+
+
+def strongest(fits: DataFrame, most: int = 10, key: str = "key") -> DataFrame:
+    """The fits with the largest correlations in either direction."""
+    return fits.orderBy(F.desc(F.abs("r")), key).limit(most)
+
+
+def stratified(rows: DataFrame, key: str, band: Column, per_band: int, target: int, seed: str = "7") -> DataFrame:
+    """At most target rows: per_band of each band, topped up from the rest, distinct by key, in a shuffled order (column place).
+
+    All choices are by a seeded hash of the key, so any run and engine takes the same rows.
+    """
+    h = F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
+    one = rows.withColumn("_band", band).withColumn("_h", h).dropDuplicates([key])
+    one = one.withColumn("_r", F.row_number().over(Window.partitionBy("_band").orderBy("_h", key)))
+    # those within their band's share come first; limit keeps a bounded number
+    some = one.orderBy(F.col("_r") > per_band, "_h", key).limit(target)
+    place = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit("order-"), "_h")), key))
+    return some.withColumn("place", place).drop("_band", "_h", "_r")
+
+
+def sample(rows: DataFrame, key: str, n: int, seed: str = "7") -> DataFrame:
+    """n rows by a seeded hash of the key."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"))), key).limit(n)
+
+
 def sign_test(leads: int, lags: int) -> float:
     """Exact two-sided binomial p that leads and lags are equally likely; nan without either."""
     n = leads + lags

@@ -252,3 +252,45 @@ def seasons_json(spark, d):
     t = A.keyed_titles(spark, d).where("p.season_number is not null")
     seasons = F.array_sort(F.collect_set("p.season_number"))
     return t.groupBy("name_key", "kind").agg(F.to_json(seasons).alias("seasons"), F.max("p.season_number").alias("max_season"))
+
+
+@query("per_thousand_views", EARNING + " SELECT title_id, round(hours / (pageviews / 1000.0), 2) AS hours_per_1k_pageviews, pageview_days FROM earning WHERE pageviews > 0 AND pageview_days >= 60 AND hours >= 100000 ORDER BY hours / (pageviews / 1000.0) DESC, title_id LIMIT 10")
+def per_thousand_views(spark, d):
+    """Hours per thousand pageviews, over titles with at least sixty days of pageviews."""
+    e = earning(spark, d).where("pageviews > 0 and pageview_days >= 60 and hours >= 100000")
+    return round_all(e.orderBy(F.desc("hours_per_1k_pageviews"), "title_id").limit(10).select("title_id", "hours_per_1k_pageviews", "pageview_days"), 2)
+
+
+SHAPED = f"""
+WITH s AS (SELECT p_partkey AS part, p_name AS name, p_partkey % 20 AS shape, p_size % 9 + 1 AS n, p_size % 3 + 1 AS m, p_size % 13 AS w, p_size % 20 AS o FROM part)
+SELECT part, name AS base,
+  CASE WHEN shape = 5 OR shape = 6 AND w = {T.SEASON_WORDS.index("Series")} THEN 'series' WHEN shape IN (0, 1, 2, 3, 4, 6, 7, 16, 17, 18) THEN 'season' WHEN shape IN (8, 9) THEN 'part' WHEN shape = 10 THEN 'volume' WHEN shape = 11 THEN 'chapter' WHEN shape = 12 THEN 'collection' WHEN shape IN (13, 14) THEN 'limited' WHEN shape = 15 THEN 'episode_date' END AS season_kind,
+  CAST(CASE WHEN shape IN (0, 1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 12, 18) THEN n WHEN shape = 7 THEN o + 1 WHEN shape IN (16, 17) THEN n + 1 END AS INTEGER) AS season_number,
+  CAST(CASE WHEN shape = 0 THEN m END AS INTEGER) AS part_number, CASE WHEN shape = 15 THEN 'June ' || n || ', 2020' END AS episode_date, shape IN (16, 17, 18) AS bare_number, CAST(CASE WHEN shape = 19 THEN 2011 END AS INTEGER) AS title_year
+FROM s"""
+
+
+@query("title_shapes", SHAPED)
+def title_shapes(spark, d):
+    """Every shape of the grammar, Roman numerals and bare numbers included, on names made for it."""
+    shape, name = F.col("p_partkey") % 20, F.col("p_name")
+    n, m = (F.col("p_size") % 9 + 1).cast("string"), (F.col("p_size") % 3 + 1).cast("string")
+    pick = lambda words, at: F.element_at(F.array(*map(F.lit, words)), (at + 1).cast("int"))
+    roman = pick(T.ROMAN, F.col("p_size") % 9)
+    ends = [
+        F.concat(F.lit(": Season "), n, F.lit(": Part "), m), F.concat(F.lit(": Season "), n), F.concat(F.lit(": 시즌 "), n), F.concat(F.lit(": Season "), n, F.lit(": The Long Way")), F.concat(F.lit(": S"), n, F.lit(": Oslo")),
+        F.concat(F.lit(": Series "), n), F.concat(F.lit(": "), pick(T.SEASON_WORDS, F.col("p_size") % 13), F.lit(" "), n), F.concat(F.lit(": The "), pick(T.ORDINALS, F.col("p_size") % 20), F.lit(" Year")),
+        F.concat(F.lit(": Part "), n), F.concat(F.lit(" Part "), n), F.concat(F.lit(": Volume "), n), F.concat(F.lit(": Chapter "), n), F.concat(F.lit(": Collection "), n), F.lit(": Limited Series"), F.lit(": Miniserie"),
+        F.concat(F.lit(": June "), n, F.lit(", 2020")), F.concat(F.lit(": "), roman), F.concat(F.lit(" "), roman), F.concat(F.lit(" "), n), F.lit(" (2011)"),
+    ]
+    title = F.concat(name, F.element_at(F.array(*ends), (shape + 1).cast("int")))
+    p = A.table(spark, d, "part").select(F.col("p_partkey").alias("part"), T.parse(title).alias("p"))
+    return p.select("part", "p.base", "p.season_kind", "p.season_number", "p.part_number", "p.episode_date", "p.bare_number", F.col("p.year").alias("title_year"))
+
+
+@query("norm_function", SQL + " SELECT part, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS key FROM titles")
+def norm_function(spark, d):
+    """The normaliser as a SQL function."""
+    T.register(spark)
+    A.titles(spark, d).createOrReplaceTempView("lanternfish_titles")
+    return spark.sql("SELECT part, lanternfish_norm(title) AS key FROM lanternfish_titles")

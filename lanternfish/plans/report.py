@@ -40,7 +40,26 @@ def findings(tables: dict[str, DataFrame], replicates: int = 2000) -> dict[str,
     xs = ["rating", "log_hours", "log_votes", "is_tv", "non_english"]
     series = V.weekly_demand(top, tables["fact_pageviews"]).where("hours is not null and pageviews is not null").withColumnRenamed("title_id", "key")
     lags = S.best_lag(series).groupBy("lag").agg(F.count("*").alias("titles"), F.round(F.median("r"), 3).alias("median_r")).orderBy("lag")
-    return {"Delivery by genre": delivery, "Rating and longevity": S.spearman(rated, "rating", "weeks_charted"), "Weeks charted, least squares": S.ols(rated, "weeks_charted", xs), "Best lag": lags}
+    fit = S.ols(rated, "weeks_charted", xs).join(S.ols_interval(rated, "title_id", "weeks_charted", xs, replicates), "term")
+    rank = S.spearman(rated, "rating", "weeks_charted")
+    row = rank.first()
+    rank = rank.withColumn("p", F.lit(S.spearman_p(row.rho, row.n) if row.rho is not None else None).cast("double"))
+    return {"Delivery by genre": delivery, "Rating and longevity": rank, "Weeks charted, least squares": fit, "Best lag": lags, "Strongest in either direction": S.strongest(S.best_lag(series)), "Mismatched pairs": S.placebo_summary(series)}
+
+
+def metric_options(earning: DataFrame) -> dict[str, DataFrame]:
+    """The candidate metrics: what each can be computed for, its extremes, its ranking under its floor, and how far they agree."""
+    big = earning.where("hours >= 1000000")
+    top = lambda c, cond: big.where(cond).where(F.col(c).isNotNull()).orderBy(F.desc(c), "title_id").limit(10).select("canonical_title", "kind", c, "weeks_available", "available_from_source", "pageview_days")
+    coverage = big.agg(F.count("*").alias("titles"), F.count("hours_per_week_available").alias("hours_per_week"), F.count("weeks_charted").alias("longevity"), F.count("hours_per_1k_pageviews").alias("per_1k_pageviews"))
+    sources = big.groupBy("available_from_source").agg(F.count("*").alias("titles"), F.round(F.median("weeks_available")).alias("median_weeks"))
+    large = big.where("hours >= 10000000").select("canonical_title", "hours", "weeks_available", "hours_per_week_available")
+    agreement = big.agg(S.corr("hours_per_week_available", "weeks_charted").alias("rate_longevity"), S.corr("hours_per_week_available", "hours_per_1k_pageviews").alias("rate_demand"), S.corr("weeks_charted", "hours_per_1k_pageviews").alias("longevity_demand"))
+    return {
+        "Coverage": coverage, "Where the first week comes from": sources.orderBy("available_from_source"), "Old titles": large.where("weeks_available > 500").orderBy(F.desc("hours"), "canonical_title").limit(5),
+        "Young titles": large.where("weeks_available <= 3").orderBy(F.desc("hours"), "canonical_title").limit(5), "Hours per week available, eight weeks at least": top("hours_per_week_available", "weeks_available >= 8"),
+        "Weeks charted": top("weeks_charted", "true"), "Hours per thousand pageviews, sixty days at least": top("hours_per_1k_pageviews", "pageview_days >= 60"), "Agreement": agreement,
+    }
 
 
 def render(title: str, parts: dict[str, DataFrame]) -> str:

@@ -50,14 +50,14 @@ def genre_delivery(spark, d):
 @query("delivery_bootstrap", GENRES + """,
 units AS (SELECT title_id, row_number() OVER (ORDER BY title_id) - 1 AS i FROM (SELECT DISTINCT title_id FROM genre_rows)),
 n AS (SELECT count(*) AS n FROM units),
-drawn AS (SELECT rep, ('0x' || substr(md5('s-' || rep || '-' || draw), 1, 8))::BIGINT % n AS i FROM range(1, 21) r(rep), n, range(1, (SELECT n FROM n) + 1) q(draw)),
+drawn AS (SELECT rep, ('0x' || substr(md5('s-' || rep || '-' || draw), 1, 8))::BIGINT % n AS i FROM range(1, 201) r(rep), n, range(1, (SELECT n FROM n) + 1) q(draw)),
 times AS (SELECT rep, title_id, count(*) AS times FROM drawn JOIN units USING (i) GROUP BY ALL),
 per AS (SELECT rep, genre, sum(times * hours) AS h, sum(times * slots) AS s FROM genre_rows JOIN times USING (title_id) GROUP BY ALL),
 ratio AS (SELECT rep, genre, CASE WHEN s > 0 THEN (h / sum(h) OVER (PARTITION BY rep)) / (s / sum(s) OVER (PARTITION BY rep)) END AS delivery FROM per)
 SELECT genre, round(quantile_cont(delivery, 0.025), 6) AS ci_low, round(quantile_cont(delivery, 0.975), 6) AS ci_high FROM ratio WHERE delivery IS NOT NULL GROUP BY 1""")
 def delivery_bootstrap(spark, d):
-    """Twenty replicates here; the operator takes any number."""
-    return round_all(S.delivery_interval(genre_rows(spark, d), 20))
+    """Two hundred replicates here, for the oracle's sake; findings() takes two thousand."""
+    return round_all(S.delivery_interval(genre_rows(spark, d), 200))
 
 
 @query("spearman", EARNING + """,
@@ -129,12 +129,12 @@ def sign_test(spark, d):
 @query("placebo", SERIES + """,
 ids AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS i FROM (SELECT DISTINCT key FROM changes)),
 n AS (SELECT count(*) AS n FROM ids),
-p1 AS (SELECT draw, n, ('0x' || substr(md5('pa-' || draw), 1, 8))::BIGINT % n AS a, ('0x' || substr(md5('pb-' || draw), 1, 8))::BIGINT AS hb FROM range(1, 41) q(draw), n),
+p1 AS (SELECT draw, n, ('0x' || substr(md5('pa-' || draw), 1, 8))::BIGINT % n AS a, ('0x' || substr(md5('pb-' || draw), 1, 8))::BIGINT AS hb FROM range(1, 501) q(draw), n),
 pairs AS (SELECT draw, a, (a + 1 + hb % (n - 1)) % n AS b FROM p1)
 SELECT draw, round(corr(x.dh, y.dp), 6) AS r FROM pairs JOIN ids ia ON ia.i = a JOIN ids ib ON ib.i = b JOIN changes x ON x.key = ia.key JOIN changes y ON y.key = ib.key AND y.i = x.i GROUP BY draw HAVING count(*) >= 6""")
 def placebo(spark, d):
-    """Forty mismatched pairs here; the operator takes any number."""
-    return round_all(S.placebo(series(spark, d), draws_=40)).select(F.col("draw").cast("long").alias("draw"), "r")
+    """Five hundred mismatched pairs."""
+    return round_all(S.placebo(series(spark, d), draws_=500)).select(F.col("draw").cast("long").alias("draw"), "r")
 
 
 @query("censoring", SQL + "SELECT count(*) FILTER (WHERE last_week = m) AS still_charting, count(*) AS titles FROM (SELECT title_id, max(week) AS last_week, max(max(week)) OVER () AS m FROM fact_top10 WHERE title_id IS NOT NULL GROUP BY 1)")
@@ -142,3 +142,21 @@ def censoring(spark, d):
     g = A.fact_top10(spark, d).where("title_id is not null").groupBy("title_id").agg(F.max("week").alias("last_week"))
     g = g.withColumn("m", F.max("last_week").over(Window.partitionBy()))
     return g.agg(F.count_if(F.col("last_week") == F.col("m")).alias("still_charting"), F.count("*").alias("titles"))
+
+
+@query("placebo_summary", SERIES + """,
+ids AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS i FROM (SELECT DISTINCT key FROM changes)),
+n AS (SELECT count(*) AS n FROM ids),
+p1 AS (SELECT draw, n, ('0x' || substr(md5('pa-' || draw), 1, 8))::BIGINT % n AS a, ('0x' || substr(md5('pb-' || draw), 1, 8))::BIGINT AS hb FROM range(1, 501) q(draw), n),
+pairs AS (SELECT draw, a, (a + 1 + hb % (n - 1)) % n AS b FROM p1),
+fake AS (SELECT draw, corr(x.dh, y.dp) AS r FROM pairs JOIN ids ia ON ia.i = a JOIN ids ib ON ib.i = b JOIN changes x ON x.key = ia.key JOIN changes y ON y.key = ib.key AND y.i = x.i GROUP BY draw HAVING count(*) >= 6),
+f AS (SELECT median(r) AS m, count(*) AS n, quantile_cont(r, 0.95) AS p95 FROM fake WHERE r IS NOT NULL),
+own AS (SELECT key, corr(dh, dp) AS r FROM changes GROUP BY 1)
+SELECT round(f.m, 6) AS placebo_median, f.n AS placebo_draws, round(f.p95, 6) AS placebo_p95, count(*) AS n_titles, round(median(r), 6) AS real_median, count(*) FILTER (WHERE r > f.p95) AS real_above_p95 FROM own, f WHERE r IS NOT NULL GROUP BY f.m, f.n, f.p95""")
+def placebo_summary(spark, d):
+    return round_all(S.placebo_summary(series(spark, d)))
+
+
+@query("strongest_lags", SERIES + "SELECT key, CAST(lag AS INTEGER) AS lag, round(r, 6) AS r FROM best ORDER BY abs(r) DESC, key LIMIT 10")
+def strongest_lags(spark, d):
+    return round_all(S.strongest(S.best_lag(series(spark, d)))).select("key", "lag", "r")

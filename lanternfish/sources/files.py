@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .contracts import ContractError, expect_columns, expect_rows
@@ -100,3 +100,8 @@ def naive_match(chart: DataFrame, report: DataFrame) -> DataFrame:
     names = chart.select("charting_title").distinct()
     hit = names.join(report.select(F.col("title").alias("charting_title")).distinct(), "charting_title", "left_semi")
     return names.agg(F.count("*").alias("names")).crossJoin(hit.agg(F.count("*").alias("matched"))).withColumn("share", F.col("matched") / F.col("names"))
+
+
+def encode_segment(c: Column) -> Column:
+    """A name as one segment of an address: url_encode, with spaces as %20."""
+    return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))

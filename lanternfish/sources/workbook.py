@@ -66,29 +66,18 @@ def sheets(content: bytes) -> Iterator[tuple[str, Iterator[tuple[int, dict[int,
 
 
 def read_cells(content: bytes, where: str) -> Iterator[tuple]:
-    """The data rows of both sheets as text; refuses other sheets and other headers."""
-    found = list(sheets(content))
-    names = [n for n, _ in found]
-    if [n for n in names if n not in SHEET_KIND] or sorted(SHEET_KIND[n] for n in names) != ["film", "tv"]:
-        raise ContractError(f"{where}: one TV and one film sheet expected, found {names}")
-    for name, rows in found:
-        headed = False
-        for n, cells in rows:
-            row = [cells.get(FIRST_COLUMN + i, (None, False)) for i in range(len(COLUMNS))]
-            if n < HEADER_ROW:
-                continue
-            if n == HEADER_ROW:
-                expect_columns([v for v, _ in row], COLUMNS, f"{where}/{name}")
-                headed = True
-                continue
-            (title, _), (available, _), (released, _), (hours, h_num), (runtime, _), (views, v_num) = row
-            if title is None and hours is None:
-                continue
-            if not h_num and (title or "").startswith("*"):
-                continue  # footnote
-            yield name, SHEET_KIND[name], n, title, available, released, hours, runtime, views, h_num, v_num
-        if not headed:
-            raise ContractError(f"{where}/{name}: no header in row {HEADER_ROW}")
+    """All rows below the headers of both sheets, as text with a note of what was a number."""
+    tables = {name: dict(rows) for name, rows in sheets(content)}
+    kinds = sorted(SHEET_KIND.get(name, f"unknown sheet {name}") for name in tables)
+    if kinds != sorted(set(SHEET_KIND.values())):
+        raise ContractError(f"{where}: one sheet of each kind expected, found {kinds}")
+    wanted = range(FIRST_COLUMN, FIRST_COLUMN + len(COLUMNS))
+    for name, rows in tables.items():
+        expect_columns([rows.get(HEADER_ROW, {}).get(c, (None,))[0] for c in wanted], COLUMNS, f"{where}/{name}")
+        for n, cells in rows.items():
+            if n > HEADER_ROW:
+                text, number = zip(*(cells.get(c, (None, False)) for c in wanted), strict=True)
+                yield name, SHEET_KIND[name], n, *text, number[COLUMNS.index("Hours Viewed")], number[COLUMNS.index("Views")]
 
 
 def read_workbooks(spark: SparkSession, path: str, period: str, start, end) -> DataFrame:
@@ -101,6 +90,9 @@ def read_workbooks(spark: SparkSession, path: str, period: str, start, end) -> D
                 yield pd.DataFrame(list(read_cells(content, name)), columns=names)
 
     cells = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, CELLS)
+    # rows without a title and hours are blank; text after an asterisk, without hours, is a note
+    note = F.startswith("title", F.lit("*")) & ~F.col("numeric_hours")
+    cells = cells.where((F.col("title").isNotNull() | F.col("hours").isNotNull()) & ~F.coalesce(note, F.lit(False)))
     catch_all = F.col("title").isin(*CATCH_ALL)
     kept = {c: F.when(~catch_all, F.col(c)) for c in ("available", "released", "runtime", "views")}
     hours = require(F.col("hours"), F.col("numeric_hours"), "hours are not a number").cast("double").cast("long")

@@ -7,7 +7,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["headline", "title_period", "longevity", "weekly_demand", "weak_scope_fallback", "orphans", "period_arrays", "title_parse", "text_keys", "exact_ladder", "tie_break_crosstab", "fuzzy_topk", "season_validation", "genre_delivery", "delivery_bootstrap", "best_lag", "sign_test", "spearman", "ols", "resolve", "chart_ladder", "weak_rungs"]
+SOME = ["headline", "title_period", "longevity", "weekly_demand", "weak_scope_fallback", "orphans", "period_arrays", "title_parse", "text_keys", "exact_ladder", "tie_break_crosstab", "fuzzy_topk", "season_validation", "genre_delivery", "delivery_bootstrap", "best_lag", "sign_test", "spearman", "ols", "resolve", "chart_ladder", "weak_rungs", "title_shapes", "norm_function", "placebo", "placebo_summary", "strongest_lags", "per_thousand_views"]
 
 
 @pytest.fixture(scope="module")
