@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,14 @@ def test_similarity(spark):
         assert round(r.x, 1) == r.want and abs(r.x - r.y) < 1e-9
 
 
+def test_many_ratios_at_once():
+    rng = np.random.default_rng(3)
+    name = lambda: " ".join("".join(rng.choice(list("abcdé日 "), rng.integers(0, 9))) for _ in range(rng.integers(0, 14)))
+    a, b = [name() for _ in range(400)] + ["", "x" * 63, "x" * 64, "y" * 90], [name() for _ in range(400)] + ["", "x" * 70, "x" * 64, "z"]
+    assert max(map(len, a)) > 63 and np.array_equal(similarity.ratios(a, b), [similarity.ratio(x, y) for x, y in zip(a, b, strict=True)])
+    assert len(similarity.ratios([], [])) == 0
+
+
 def test_runtime(spark):
     df = spark.createDataFrame([("2:30",), ("*",), ("112:05*",), (None,)], "v string").select(T.parse_runtime(F.col("v")).alias("r")).select("r.*")
     assert [tuple(r) for r in df.collect()] == [(2.5, False, False), (None, True, False), (112 + 5 / 60, False, True), (None, False, False)]
