@@ -190,12 +190,13 @@ def resolve(spark, d):
 
 
 @query("weak_rungs", SQL + r""",
-one AS (SELECT p_name, min(p_partkey) AS part FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1 HAVING count(*) = 1)
+one AS (SELECT p_partkey AS part FROM part WHERE p_partkey % 3 <> 0)
 SELECT part, 'qualifier_dropped' AS rung, 'tt' || lpad(CAST(part AS VARCHAR), 7, '0') AS tconst FROM one WHERE part % 2 = 0
 UNION ALL SELECT part, 'prefix', 'tt' || lpad(CAST(part AS VARCHAR), 7, '0') FROM one WHERE part % 2 = 1""")
 def weak_rungs(spark, d):
     """The two weakest rungs: a series reported with a country, or with the name of an arc, that the catalogue lacks."""
-    one = A.table(spark, d, "part").where("p_partkey % 3 <> 0").groupBy("p_name").agg(F.min("p_partkey").alias("part"), F.count("*").alias("n")).where("n = 1")
+    # the part's number makes names distinct
+    one = A.table(spark, d, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("part"), F.concat("p_name", F.lit(" k"), F.col("p_partkey").cast("string")).alias("p_name"))
     title = F.when(F.col("part") % 2 == 0, F.concat("p_name", F.lit(" (Q.Z.): Season 1"))).otherwise(F.concat("p_name", F.lit(": The Qz Arc: Season 2")))
     rows = one.select(F.lit("tv").alias("kind"), title.alias("title"), F.lit(None).cast("date").alias("release_date"), F.lit("1995H1").alias("period"), F.lit(1).cast("long").alias("hours"), F.lit(1).cast("long").alias("views"), F.col("part").alias("row_no"))
     cat = one.select(F.concat(F.lit("tt"), F.lpad(F.col("part").cast("string"), 7, "0")).alias("tconst"), F.lit("tvSeries").alias("type"), F.lit(None).cast("int").alias("start_year"), F.lit(True).alias("is_series"), F.col("p_name").alias("primary_title"), F.col("p_name").alias("original_title"))
