@@ -75,16 +75,36 @@ def delivery_interval(rows: DataFrame, replicates: int, seed: str = "s") -> Data
     return per.where("delivery is not null").groupBy("genre").agg(F.percentile("delivery", F.lit(0.025)).alias("ci_low"), F.percentile("delivery", F.lit(0.975)).alias("ci_high"))
 
 
-def average_rank(c: str) -> Column:
-    """Rank with ties at their mean. One window over all rows: meant for summaries, not facts."""
-    order = Window.orderBy(c)
-    return F.rank().over(order) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
+def average_ranks(values: DataFrame, c: str, n: str = "n", parts: int = 256) -> DataFrame:
+    """(c, rank) of each distinct value, ties at their mean; rows are (c, n), n the times of c.
+
+    Values are dealt by approximate quantiles, at most `parts` of them in one row, so each
+    window sees a part; any cuts give the same ranks.
+    """
+    per = values.groupBy(c).agg(F.sum(n).alias("n"))
+    cuts = per.agg(F.percentile_approx(c, [i / parts for i in range(1, parts)], 10_000).alias("cuts"))
+    # the other side is one row
+    dealt = per.crossJoin(F.broadcast(cuts)).withColumn("part", F.size(F.filter("cuts", lambda x: x < F.col(c)))).drop("cuts")
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("part").agg(F.sum("n").alias("m")).select("part", F.coalesce(F.sum("m").over(order), F.lit(0)).alias("before"))
+    up_to = F.sum("n").over(Window.partitionBy("part").orderBy(c))
+    return dealt.withColumn("up_to", up_to).join(before, "part").select(c, (F.col("before") + F.col("up_to") - (F.col("n") - 1) / 2).alias("rank"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(n, rho) over rows where both are known."""
-    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(average_rank(x).alias("rx"), average_rank(y).alias("ry"))
-    return r.agg(F.count("*").alias("n"), corr("rx", "ry").alias("rho"))
+    """(n, rho) over rows where both are known; rho is null where one doesn't vary.
+
+    Equal pairs are counted first, and ranks are those of distinct values, so no task sees all rows.
+    """
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
+    ranks = lambda c, out: average_ranks(pairs.select(c, "n"), c).select(c, F.col("rank").alias(out))
+    r = pairs.join(ranks("x", "rx"), "x").join(ranks("y", "ry"), "y")
+    # a mean rank is (n + 1) / 2, known from the count alone
+    total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    r = r.crossJoin(F.broadcast(total)).select("n", (F.col("rx") - (F.col("total") + 1) / 2).alias("a"), (F.col("ry") - (F.col("total") + 1) / 2).alias("b"))
+    n, a, b = F.col("n"), F.col("a"), F.col("b")
+    rho = F.try_divide(F.sum(n * a * b), F.sqrt(F.sum(n * a * a)) * F.sqrt(F.sum(n * b * b)))
+    return r.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), rho.alias("rho"))
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -187,7 +207,7 @@ def placebo(series: DataFrame, key: str = "key", draws_: int = 500, min_pairs: i
     Pairs are drawn by hash; the second member is moved past the first, so they differ.
     """
     d = differences(series, key)
-    ids = d.select(key).distinct().withColumn("i", F.row_number().over(Window.orderBy(key)) - 1)
+    ids = numbered(d, key)
     n = ids.agg(F.count("*").alias("n")).where("n > 1")
     h = lambda part: F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed + part), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")
     pairs = n.select("n", F.explode(F.sequence(F.lit(1), F.lit(draws_))).alias("draw")).withColumn("a", (h("a") % F.col("n")).cast("int"))

@@ -2,6 +2,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pandas as pd
 
 from lanternfish.operators import stats as S
 
@@ -68,9 +69,23 @@ def test_rank_correlation_and_p(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (2.0, 3.0), (4.0, 4.0), (None, 9.0)], "x double, y double")
     r = S.spearman(df, "x", "y").first()
     assert r.n == 4 and math.isclose(r.rho, 0.9486832980505138)
+    none = S.spearman(df.where("x > 9"), "x", "y").first()
+    assert none.n == 0 and none.rho is None
+    assert S.spearman(df.selectExpr("1.0D AS x", "y"), "x", "y").first().rho is None
     assert math.isclose(S.spearman_p(0.118, 2292), 1.5e-8, rel_tol=0.2)
     assert math.isclose(S.incomplete_beta(2, 3, 0.4), 0.5248, rel_tol=1e-9)
 
 
+def test_ranks_of_many_values_and_a_hot_one(spark):
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random(3000) < 0.4, 7, rng.integers(-900, 900, 3000))
+    rows = pd.DataFrame({"x": x, "y": rng.integers(0, 40, 3000) + x // 300})
+    df = spark.createDataFrame(rows)
+    got = {r.x: r["rank"] for r in S.average_ranks(df.selectExpr("x", "1 AS n"), "x", parts=16).collect()}
+    assert got == dict(zip(rows.x.tolist(), rows.x.rank().tolist(), strict=True))
+    r = S.spearman(df, "x", "y").first()
+    assert r.n == 3000 and math.isclose(r.rho, rows.x.rank().corr(rows.y.rank()))
+
+
 def test_sign_test():
     assert math.isclose(S.sign_test(8, 2), 0.109375) and S.sign_test(5, 5) == 1.0 and math.isnan(S.sign_test(0, 0))
