@@ -27,6 +27,8 @@ START = "▁"
 UNKNOWN = 10.0
 #: Trie nodes that a worker keeps before it starts a new trie.
 NODES = 600_000
+#: Signs of a word beyond which it shares no prefix with others and is scored outside the trie.
+LONG = 2000
 
 
 def default_vocabulary() -> str:
@@ -61,10 +63,32 @@ class Trie(dict):
         self.child: dict[tuple[int, str], int] = {}
         self.score, self.count = [0.0], [0]
 
+    def alone(self, text: str) -> tuple[int, float]:
+        """(tokens, score) by the same recurrence over the last prefixes only, for a word of any length."""
+        pieces, keep = self.pieces, max(1, self.longest)
+        score, count = [0.0] * keep, [0] * keep  # of prefix `end`, at end modulo keep
+        for end, sign in enumerate(text, 1):
+            best, least = -math.inf, 0
+            for start in range(max(0, end - keep), end):
+                s = pieces.get(text[start:end])
+                if s is None:
+                    if start < end - 1:
+                        continue
+                    s, n = self.unknown, len(sign.encode())
+                else:
+                    n = 1
+                s, n = s + score[start % keep], n + count[start % keep]
+                if s > best or (s == best and n < least):
+                    best, least = s, n
+            score[end % keep], count[end % keep] = best, least
+        return count[len(text) % keep], score[len(text) % keep]
+
     def __missing__(self, word: bytes) -> tuple[int, float]:
+        text = START + word.decode("utf-8", "replace")
+        if len(text) > LONG:
+            return self.alone(text)
         if len(self.score) > self.most:
             self.reset()
-        text = START + word.decode("utf-8", "replace")
         child, score, count, pieces = self.child, self.score, self.count, self.pieces
         path, node = [0], 0
         for end, sign in enumerate(text, 1):
@@ -92,6 +116,16 @@ class Trie(dict):
         return found
 
 
+_TRIES: dict[tuple[str, int], Trie] = {}
+
+
+def trie_of(path: str, nodes: int) -> Trie:
+    """One a worker; what it has met stays from task to task, up to `nodes`."""
+    if (path, nodes) not in _TRIES:
+        _TRIES[path, nodes] = Trie(vocabulary(path), nodes)
+    return _TRIES[path, nodes]
+
+
 def count_tokens(docs: DataFrame, *, vocabulary_path: str | None = None, nodes: int = NODES) -> DataFrame:
     """(doc_id, n_words, n_tokens, score) for each row of docs.
 
@@ -99,11 +133,12 @@ def count_tokens(docs: DataFrame, *, vocabulary_path: str | None = None, nodes:
     and empty texts have 0 words, 0 tokens, score 0. Repeated rows are counted each; a
     null doc_id stays null; no rows: none back. Columns other than doc_id and text are
     not read. Of segmentations that are equally likely the one with fewer tokens counts.
+    A word of over `LONG` signs is scored by the same recurrence without a place in the trie.
     """
     path = vocabulary_path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(vocabulary(path), nodes)
+        trie = trie_of(path, nodes)
         for b in pieces_of(batches):
             words, tokens, scores = [], [], []
             for text in b.column("text").to_pylist():

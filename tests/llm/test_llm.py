@@ -397,6 +397,19 @@ def test_token_counts(spark, docs, empty, wide):
     assert Counter((r.doc_id, r.n_words, r.n_tokens) for r in got) == want
 
 
+def test_token_counts_of_a_long_word():
+    v = token_counts.vocabulary(token_counts.default_vocabulary())
+    word = ("straßeof日本the\u0378tion" * 400).encode()
+    full, empty = token_counts.Trie(v, nodes=10**6), token_counts.Trie({})
+    n, score = full[word]
+    assert len(full.score) == 1 and len(word.decode()) > token_counts.LONG  # no node was made
+    limit, token_counts.LONG = token_counts.LONG, 10**6
+    try:
+        assert (n, score) == full[word] and len(full.score) > 1 and empty[b"ab"] == empty.alone("▁ab")
+    finally:
+        token_counts.LONG = limit
+
+
 # --- 7 passages
 
 
