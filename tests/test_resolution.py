@@ -29,6 +29,30 @@ def test_first_right_row_wins_and_every_left_row_comes_out(spark):
     assert got[0].right_id == 0 and got[0].candidates == 2 and len(got) == 2
 
 
+def rows_made(df):
+    """The largest number of rows that an operator of the executed plan put out."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        todo += [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+        n = p.metrics().get("numOutputRows")
+        most = max(most, n.get().value() if n.isDefined() else 0)
+    return most
+
+
+def test_names_that_many_rows_share_make_no_pairs(spark):
+    side = lambda rows: spark.createDataFrame([(i, t, "p", "tv", t.lower(), [t.lower()], "|||", None) for i, t in enumerate(rows)], "id int, raw string, period string, kind string, key string, keys array<string>, season string, year int")
+    n = 500
+    left, right = side(["Red bolt"] * n + ["Hot ringg"] * n), side(["Red bolt"] * n + ["Hot ring"] * n)
+    df = L.match(left, right, ["period", "kind"])
+    got = {r.left_id: r for r in df.collect()}
+    assert rows_made(df) <= 10 * n
+    assert len(got) == 2 * n and {(r.stage, r.right_id, r.candidates, r.score) for i, r in got.items() if i < n} == {("exact", 0, n, 100.0)}
+    # candidates of a fuzzy match are all right rows of the block, and the second row of the same name is the runner-up
+    assert {(r.stage, r.right_id, r.candidates, r.score == r.runner_up > 90) for i, r in got.items() if i >= n} == {("fuzzy", n, 2 * n, True)}
+
+
 BASICS = "tconst string, type string, start_year int, is_series boolean, primary_title string, original_title string"
 
 
