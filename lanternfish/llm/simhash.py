@@ -39,6 +39,13 @@ PER_PIVOT, PER_BLOCK = 256, 4096
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 for none."""
+    octets = h.view(np.uint8).reshape(-1, 8)
+    ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BIT for k in range(8)])
+    return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """Unsigned SimHash of the text's word shingles; 0 for a text without words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
@@ -52,9 +59,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         end = np.cumsum(size + 1) - 1
         start = end - size
         h = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(start[: 1 - width].tolist(), end[width - 1 :].tolist(), strict=True)], np.uint64)
-    octets = h.view(np.uint8).reshape(-1, 8)
-    ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BIT for k in range(8)])
-    return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
+    return majority(h)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -49,6 +49,44 @@ def test_near_copies_leave_one_row_of_each_component(spark, hard):
     assert near_copies.keep_one(hard.limit(0)).count() == 0
 
 
+def test_near_copies_begin_with_simhash(spark):
+    rng = np.random.default_rng(4)
+    base = [" ".join(rng.choice([f"w{i}" for i in range(3000)], 400)) for _ in range(3)]
+    texts = [*base, base[0] + " more", base[1].replace(" ", "  "), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scratch = Scratch(spark, "test")
+    rows = scratch.keep(near_copies.with_nodes(docs), "rows")
+    node = {r.row.doc_id: r.node for r in rows.collect()}
+    nodes = rows.where("size > 0").select("node", "fp").distinct()
+    got = {r.node: r.label for r in near_copies.simhashed(nodes, rows, 0.8, scratch, 3).collect()}
+    assert got == dict.fromkeys((node[0], node[3]), min(node[0], node[3])) and node[1] == node[4]
+    # what shingles don't confirm is no link, however alike the fingerprints are
+    assert near_copies.simhashed(nodes.select("node", F.lit(5).cast("long").alias("fp")), rows, 0.8, Scratch(spark, "test"), 3).count() in (0, 2)
+
+
+def test_crowded_groups_in_bounded_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 40, 40, dtype=np.uint64)) for _ in range(4)]
+    near = [np.sort(np.append(sets[k % 4][:-1], np.uint64(1 << 50 | k))) for k in range(120)]
+    table = pa.table({"role": [0] * 120 + [1] * 120, "node": list(range(120)) * 2, "set": [x.tobytes() for x in near] * 2})
+    whole = near_copies.held_against(table, 0.8)
+    held = []
+    forest = near_copies.forest
+    monkeypatch.setattr(near_copies, "LINKS_HELD", 50)
+    monkeypatch.setattr(near_copies, "forest", lambda u, v: held.append(len(u)) or forest(u, v))
+    u, v = near_copies.held_against(table, 0.8)
+    assert max(held) < 50 + 30 + 120 and len(u) == 116
+    assert sorted(zip(u.tolist(), v.tolist(), strict=True)) == sorted(zip(whole[0].tolist(), whole[1].tolist(), strict=True)) and all(a % 4 == b for a, b in zip(u.tolist(), v.tolist(), strict=True))
+    # many blocks and parts leave the same components as one
+    seats = spark.createDataFrame([(1, k, 40) for k in range(24)], "key long, node long, size int")
+    text = [" ".join(f"g{k % 3}w{i}" for i in range(60)) + f" x{k}" for k in range(24)]
+    rows = spark.createDataFrame([((k, t), k) for k, t in enumerate(text)], "row struct<doc_id: long, text: string>, node long")
+    none = spark.createDataFrame([], "node long, label long")
+    for per_block, per_index in ((2000, 1 << 20), (5, 100)):
+        found = near_copies.settled(seats, none, rows, 0.8, Scratch(spark, "test"), per_block, per_index)
+        assert {(r.node, r.label) for r in components(found, Scratch(spark, "test")).collect()} == {(k, k % 3) for k in range(24)}
+
+
 def plain_passages(rows, window=13):
     first = {}
     for r in rows:
