@@ -2,9 +2,10 @@
 
 One attention layer over token embeddings, with a learnt bias for each distance. Queries,
 keys and values depend on the token alone, so each is one table row per vocabulary entry.
-The next token is predicted in two steps, its class and then its place in the class;
-entries are put in classes in order of frequency. Entries never met in training share the
-last class evenly, so every sequence has a probability.
+The next token is predicted in two steps, its class and then its place in the class.
+Classes are runs of entries in order of frequency, each wider than the one before as far
+as entries get rarer, so that rare entries need few classes. Entries never met in training
+share the last class evenly, so every sequence has a probability.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ import numpy as np
 
 #: Tokens of a window, and how many of them are context only.
 WINDOW, CONTEXT = 32, 8
+#: Weights that a step of Adam changes at once, so that they stay in a core's cache.
+ADAM_AT_ONCE = 1 << 15
+#: Width of a class over that of the one before, at most, and outputs of one class held at once.
+GROWTH, OUTPUTS = 1.3, 1 << 18
 
 
 class Vocabulary:
@@ -22,27 +27,37 @@ class Vocabulary:
         self.size = len(counts)
         order = np.lexsort((np.arange(self.size), -counts))
         self.seen = max(1, int((counts > 0).sum()))
-        self.width = max(1, int(np.ceil(np.sqrt(self.seen))))
-        self.classes = -(-self.seen // self.width)  # and one more for entries never met
         self.rank = np.empty(self.size, np.int64)
         self.rank[order] = np.arange(self.size)
         met = counts[order][: self.seen].astype(np.float64) + 0.5
-        self.log_count = np.log(met / met.sum())
+        share = met / met.sum()
+        self.log_count = np.log(share)
         self.unseen = self.size - self.seen
+        #: ranks at which classes begin, and the end of the last
+        self.begin = [0]
+        width, sums = int(np.ceil(np.sqrt(self.seen))), np.append(0, np.cumsum(share))
+        outputs = lambda n: n * (sums[min(self.begin[-1] + n, self.seen)] - sums[self.begin[-1]])
+        while self.begin[-1] < self.seen:
+            need = outputs(width)  # outputs inside this class that a token needs on average: the next class needs no more
+            self.begin.append(min(self.begin[-1] + width, self.seen))
+            wider = int(np.ceil(width * GROWTH))
+            width = wider if outputs(wider) <= need else width
+        self.classes = len(self.begin) - 1  # and one more for entries never met
+        small = np.int16 if self.seen < 30_000 else np.int32
+        #: class and place of each rank; rank seen stands for all entries never met
+        self.begin = np.array(self.begin)
+        self.cls = np.append(np.repeat(np.arange(self.classes), np.diff(self.begin)), self.classes).astype(small)
+        self.place = np.append(np.arange(self.seen) - self.begin[self.cls[:-1]], 0).astype(small)
 
 
 def start(v: Vocabulary, dim: int, seed: int = 3) -> dict[str, np.ndarray]:
     """Weights before training: biases hold the unigram model."""
     rng = np.random.default_rng(seed)
-    padded = np.full(v.classes * v.width, -30.0)
-    padded[: v.seen] = v.log_count
-    inside = padded.reshape(v.classes, v.width)
-    top = inside.max(axis=1, keepdims=True)
-    mass = (top + np.log(np.exp(inside - top).sum(axis=1, keepdims=True)))[:, 0]
+    mass = np.log(np.add.reduceat(np.exp(v.log_count), v.begin[:-1]))
     normal = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
     w = {"emb": normal(v.seen + 2, dim), "q": normal(dim, dim) * 3, "k": normal(dim, dim) * 3, "v": normal(dim, dim), "far": np.zeros(WINDOW, np.float32)}
     # row seen is any entry never met, row seen + 1 the start of a text
-    w |= {"cls": normal(dim, v.classes + 1), "cls_b": np.append(mass, -12.0).astype(np.float32), "out": normal(v.classes, v.width, dim), "out_b": inside.astype(np.float32)}
+    w |= {"cls": normal(dim, v.classes + 1), "cls_b": np.append(mass, -12.0).astype(np.float32), "out": normal(v.seen, dim), "out_b": v.log_count.astype(np.float32)}
     return w
 
 
@@ -55,27 +70,40 @@ def _rows(v: Vocabulary, ids: np.ndarray) -> np.ndarray:
 _LAG = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None]
 
 
-def _attend(q, k, v, far, valid=None, small=False, scoring=False):
-    """Masked attention of (windows, tokens, dim) tables' rows; returns (weights, context)."""
+def _exps(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """Exponentials over the last axis less a shift a row, their sums, and the shift; none where no value is too large or small."""
+    ones = np.ones(z.shape[-1], z.dtype)
+    if z.size and z.max() < 50:
+        e = np.exp(z)
+        total = (e.reshape(-1, e.shape[-1]) @ ones).reshape(*e.shape[:-1], 1)
+        if total.min() > 1e-20:
+            return e, total, 0.0
+    shift = z.max(axis=-1, keepdims=True, initial=-np.inf)
+    e = z - shift
+    np.exp(e, out=e)
+    return e, (e.reshape(-1, e.shape[-1]) @ ones).reshape(*e.shape[:-1], 1), shift
+
+
+def _attend(q, k, v, far, first):
+    """Context of each window's last tokens (windows, tokens, dim); the first windows of texts don't see what is before them."""
     n = q.shape[1]
-    first = k.shape[1] - n
-    lag = _LAG[first : first + n, : k.shape[1]]
+    before = k.shape[1] - n
+    lag = _LAG[before : before + n, : k.shape[1]]
     bias = np.where(lag >= 0, far[np.abs(lag)], -1e9).astype(np.float32)
     a = q @ k.transpose(0, 2, 1)
     a += bias
-    if valid is not None:
-        some, there = valid
-        a[some] += there
-    if not small:
-        a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    total = (a.reshape(-1, a.shape[2]) @ np.ones(a.shape[2], np.float32)).reshape(*a.shape[:2], 1)
-    if scoring:
-        c = a @ v
-        c /= total
-        return a, c
-    a /= total
-    return a, a @ v
+    a[first, :, :before] = -1e9
+    a, total, _ = _exps(a)
+    c = a @ v
+    c /= total
+    return c
+
+
+def _parts(a: int, b: int, width: int):
+    """Slices of a..b that have at most OUTPUTS outputs of this width each."""
+    step = max(1, OUTPUTS // width)
+    for i in range(a, b, step):
+        yield slice(i, min(i + step, b))
 
 
 class Scorer:
@@ -86,90 +114,71 @@ class Scorer:
         dim = w["emb"].shape[1]
         self.q = (w["emb"] @ w["q"] / np.sqrt(dim)).astype(np.float32)
         self.k, self.val = (w["emb"] @ w["k"]).astype(np.float32), (w["emb"] @ w["v"]).astype(np.float32)
-        # where no logit can be large, softmax needs no shift by the maximum
-        norm = lambda x: float(np.linalg.norm(x, axis=-1).max())
-        state = norm(w["emb"]) + norm(self.val)
-        bounds = norm(self.q) * norm(self.k) + np.abs(w["far"]).max(), state * norm(w["cls"].T) + np.abs(w["cls_b"]).max(), state * norm(w["out"]) + np.abs(w["out_b"]).max()
-        self.small = [bool(b < 60) for b in bounds]
-        self.ones = np.ones(max(v.classes + 1, v.width), np.float32)
         # a token's rows of two tables lie together: one look-up each
         # a state ends in 1, so that biases are one more row of the output matrices
         one = np.ones((len(self.q), 1), np.float32)
-        self.key_value = np.ascontiguousarray(np.hstack([self.k, self.val, 0 * one]))
+        self.key_value = np.ascontiguousarray(np.hstack([self.k, self.val]))
         self.query_own = np.ascontiguousarray(np.hstack([self.q, w["emb"], one]))
         self.classes = np.vstack([w["cls"], w["cls_b"][None]]).astype(np.float32)
-        self.turned = [np.vstack([x.T, b[None]]).astype(np.float32) for x, b in zip(w["out"], w["out_b"], strict=True)]
+        turned = np.vstack([w["out"].T, w["out_b"][None]]).astype(np.float32)
+        self.turned = [np.ascontiguousarray(turned[:, a:b]) for a, b in zip(v.begin[:-1], v.begin[1:], strict=True)]
 
     def next_log_prob(self, h: np.ndarray, ranks: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
         """Natural log probability of entries (by rank) after states h, or after the states at these places."""
         v = self.v
         if h.shape[1] < len(self.classes):
             h = np.hstack([h, np.ones((len(h), 1))]).astype(np.float32)
-        cls = np.minimum(ranks, v.seen) // v.width
-        cls = np.where(ranks >= v.seen, v.classes, cls)
+        ranks = np.minimum(ranks, v.seen)
         # by class, so that each class is one matrix product
-        order = np.argsort(cls.astype(np.int16 if v.classes < 30_000 else np.int64), kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(v.classes + 2)).tolist()
-        h, cls = np.take(h, order if at is None else at[order], axis=0, mode="clip"), cls[order]
-        place = np.minimum(ranks[order] - cls * v.width, v.width - 1)
+        cls = v.cls[ranks]
+        order = np.argsort(cls, kind="stable")
+        h, cls, place = np.take(h, order if at is None else at[order], axis=0, mode="clip"), cls[order], v.place[ranks[order]]
+        cut = np.searchsorted(cls, np.arange(v.classes + 2)).tolist()
         line = np.arange(len(h))
         z = h @ self.classes
-        if not self.small[1]:
-            z -= z.max(axis=1, keepdims=True)
-        lp, total = z[line, cls], np.exp(z, out=z) @ self.ones[: z.shape[1]]
-        inner = np.empty((len(h), v.width), np.float32)
-        for c in range(v.classes):
-            a, b = cut[c], cut[c + 1]
-            if b > a:
-                np.matmul(h[a:b], self.turned[c], out=inner[a:b])
-        known = inner[: cut[v.classes]]
-        if not self.small[2]:
-            known -= known.max(axis=1, keepdims=True)
-        lp[: len(known)] += known[line[: len(known)], place[: len(known)]]
-        total[: len(known)] *= np.exp(known, out=known) @ self.ones[: v.width]
+        _, total, shift = _exps(z)
+        lp = (z[line, cls] - np.ravel(shift)).astype(np.float64) - np.log(total[:, 0])
+        for c, turned in enumerate(self.turned):
+            for some in _parts(cut[c], cut[c + 1], turned.shape[1]):
+                z = h[some] @ turned
+                _, total, shift = _exps(z)
+                lp[some] += z[line[: len(z)], place[some]] - np.ravel(shift) - np.log(total[:, 0])
+        lp[cut[v.classes] :] -= np.log(max(1, v.unseen))
         out = np.empty(len(h))
-        out[order] = lp - np.log(total)
-        if len(known) < len(h):
-            out[order[len(known) :]] -= np.log(max(1, v.unseen))
+        out[order] = lp
         return out
 
-    def score(self, ids: np.ndarray, lengths: np.ndarray, at_once: int = 960) -> np.ndarray:
+    def score(self, ids: np.ndarray, lengths: np.ndarray, at_once: int = 240) -> np.ndarray:
         """Natural log probability of each text; ids: all texts' tokens, one after the other."""
         return np.bincount(np.repeat(np.arange(len(lengths)), lengths), self.log_probs(ids, lengths, at_once), len(lengths))
 
-    def log_probs(self, ids: np.ndarray, lengths: np.ndarray, at_once: int = 960) -> np.ndarray:
+    def log_probs(self, ids: np.ndarray, lengths: np.ndarray, at_once: int = 240) -> np.ndarray:
         """Natural log probability of each token, given those before it in its text.
 
         Each text is cut into windows that overlap by CONTEXT tokens; a window scores
         the tokens that no window before it has scored, so each token is scored once.
         """
-        new, dim = WINDOW - CONTEXT, self.q.shape[1]
-        begin = np.cumsum(lengths) - lengths
+        v, new, dim = self.v, WINDOW - CONTEXT, self.q.shape[1]
         n = -(-lengths // new)
-        text = np.repeat(np.arange(len(lengths)), n)
-        nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-        # inputs: the token before each scored token, and CONTEXT more before these
-        first = nth * new - 1
-        total = np.zeros(len(ids))
-        flat = np.concatenate([_rows(self.v, ids), [self.v.seen + 1]])
-        ranks = self.v.rank[ids]
-        step = np.arange(WINDOW) - CONTEXT
-        for a in range(0, len(text), at_once):
-            t = text[a : a + at_once]
-            place = first[a : a + at_once, None] + step[None]  # place in the text of each input
-            inside = (place >= 0) & (place < lengths[t][:, None])
-            rows = np.where(inside, flat[np.clip(begin[t][:, None] + place, 0, len(ids))], self.v.seen + 1)
-            # only a text's first window has places before its start
-            opening = np.flatnonzero(first[a : a + at_once] < 0)
-            valid = opening, np.where(place[opening] >= -1, np.float32(0), np.float32(-1e9))[:, None, :]
+        # each text's ranks from a window's start on, -1 between its end and the next text
+        ranks = np.full(int(n.sum()) * new, -1, np.int32)
+        ranks[np.repeat(np.cumsum(n) * new - n * new - np.cumsum(lengths) + lengths, lengths) + np.arange(len(ids))] = np.minimum(v.rank[ids], v.seen)
+        # inputs of a window: the token before each scored token, and CONTEXT more before these
+        inputs = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(CONTEXT + 1, np.int32), ranks]), WINDOW)[::new]
+        opens = np.zeros(len(inputs), bool)  # first windows of texts
+        opens[(np.cumsum(n) - n)[n > 0]] = True
+        total = []
+        for a in range(0, len(ranks) // new, at_once):
+            rows, goal = inputs[a : min(a + at_once, len(ranks) // new)].copy(), ranks[a * new : (a + at_once) * new]
+            first = np.flatnonzero(opens[a : a + at_once])
+            rows[first, : CONTEXT + 1] = v.seen + 1  # the start of a text; what is before it isn't seen
             kv = np.take(self.key_value, rows, axis=0, mode="clip")
             own = np.take(self.query_own, rows[:, CONTEXT:], axis=0, mode="clip")
-            _, h = _attend(own[..., :dim], kv[..., :dim], kv[..., dim:], self.w["far"], valid, self.small[0], True)
-            h += own[..., dim:]
-            live = place[:, CONTEXT:] + 1 < lengths[t][:, None]
-            goal = (begin[t][:, None] + place[:, CONTEXT:] + 1)[live]
-            total[goal] = self.next_log_prob(h.reshape(-1, dim + 1), ranks[goal], np.flatnonzero(live))
-        return total
+            h = own[..., dim:]
+            h[..., :dim] += _attend(own[..., :dim], kv[..., :dim], kv[..., dim:], self.w["far"], first)
+            live = np.flatnonzero(goal >= 0)
+            total.append(self.next_log_prob(h.reshape(-1, dim + 1), goal[live], live))
+        return np.concatenate(total or [np.zeros(0)])
 
 
 class Goals:
@@ -177,11 +186,11 @@ class Goals:
 
     def __init__(self, v: Vocabulary, windows: np.ndarray):
         ids, goal = windows[:, :-1], windows[:, 1:]
-        self.rows = np.where(ids == -2, v.seen + 1, _rows(v, np.maximum(ids, -1))).astype(np.int32)
-        ranks = v.rank[np.maximum(goal, 0)]
-        known = np.minimum(ranks, v.seen) // v.width
-        self.cls = np.where(goal < 0, -1, np.where(ranks >= v.seen, v.classes, known)).astype(np.int16 if v.classes < 30_000 else np.int32)
-        self.place = np.minimum(ranks - known * v.width, v.width - 1).astype(self.cls.dtype)
+        small = np.int16 if v.seen < 30_000 else np.int32
+        self.rows = np.where(ids == -2, v.seen + 1, _rows(v, np.maximum(ids, -1))).astype(small)
+        ranks = np.minimum(v.rank[np.maximum(goal, 0)], v.seen)
+        self.cls = np.where(goal < 0, v.cls.dtype.type(-1), v.cls[ranks])
+        self.place = v.place[ranks]
 
     def part(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return self.rows[at], self.cls[at], self.place[at]
@@ -192,98 +201,120 @@ def train(v: Vocabulary, w: dict[str, np.ndarray], windows: np.ndarray, *, rate:
 
     One pass over all windows, or as many as make `least_steps`; where windows are few, batches are smaller.
     """
-    w = {k: x.copy() for k, x in w.items()}
-    m, s = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+    # all weights in one array, of which w has views; so have their gradients
+    flat = np.concatenate([x.ravel() for x in w.values()])
+    grads, m, s = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat)
+    ends = np.cumsum([x.size for x in w.values()])
+    views = lambda one: {k: one[e - x.size : e].reshape(x.shape) for (k, x), e in zip(w.items(), ends, strict=True)}
+    w, into = views(flat), views(grads)
     rng = np.random.default_rng(seed)
     batch = int(np.clip(len(windows) // least_steps, 128, batch))
     passes = max(1, -(-least_steps * batch // max(1, len(windows))))
     order = np.concatenate([rng.permutation(len(windows)) for _ in range(passes)])
     steps = -(-len(order) // batch)
     goals = Goals(v, windows)
+    temp = np.empty(min(ADAM_AT_ONCE, len(flat)), flat.dtype)
+    one = flat.dtype.type
     for i in range(steps):
-        grad = gradient(v, w, *goals.part(order[i * batch : (i + 1) * batch]))
+        gradient(v, w, *goals.part(order[i * batch : (i + 1) * batch]), into)
         lr = rate * min(1.0, (i + 1) / 20) * (1 - 0.9 * i / steps)
-        far, near = lr / (1 - 0.9 ** (i + 1)), 1 / (1 - 0.98 ** (i + 1))
-        for k, g in grad.items():
-            m[k] += np.float32(0.1) * (g - m[k])
-            s[k] += np.float32(0.02) * (g * g - s[k])
-            w[k] -= np.float32(far) * m[k] / (np.sqrt(s[k] * np.float32(near)) + np.float32(1e-8))
-    return w
-
-
-def _softmax(z: np.ndarray, small: bool) -> np.ndarray:
-    """Softmax over the last axis, in place; small: no value is large, so none need be taken off."""
-    if not small:
-        z -= z.max(axis=-1, keepdims=True)
-    np.exp(z, out=z)
-    z /= (z.reshape(-1, z.shape[-1]) @ np.ones(z.shape[-1], z.dtype)).reshape(*z.shape[:-1], 1)
-    return z
-
-
-def gradient(v: Vocabulary, w: dict[str, np.ndarray], rows: np.ndarray, cls: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradient of the mean negative log probability of the windows' tokens; arguments as Goals gives them."""
+        far, near = one(lr / (1 - 0.9 ** (i + 1))), one(1 / (1 - 0.98 ** (i + 1)))
+        for a in range(0, len(flat), ADAM_AT_ONCE):
+            g, mean, square = (x[a : a + ADAM_AT_ONCE] for x in (grads, m, s))
+            t = temp[: len(g)]
+            np.multiply(g, one(0.1), out=t)
+            mean *= one(0.9)
+            mean += t
+            np.multiply(g, g, out=t)
+            t *= one(0.02)
+            square *= one(0.98)
+            square += t
+            np.multiply(square, near, out=t)
+            np.sqrt(t, out=t)
+            t += one(1e-8)
+            np.divide(mean, t, out=t)
+            t *= far
+            flat[a : a + ADAM_AT_ONCE] -= t
+    return {k: x.copy() for k, x in w.items()}
+
+
+def gradient(v: Vocabulary, w: dict[str, np.ndarray], rows: np.ndarray, cls: np.ndarray, place: np.ndarray, into: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Gradient of the mean negative log probability of the windows' tokens; arguments as Goals gives them.
+
+    It goes into the arrays of `into`, where given.
+    """
+    g = {k: np.empty_like(x) for k, x in w.items()} if into is None else into
     dim = w["emb"].shape[1]
-    x = w["emb"][rows]
+    x = np.take(w["emb"], rows, axis=0, mode="clip")
     root = float(np.sqrt(dim))  # a NumPy scalar would make all that follows double
-    wide = x @ np.hstack([w["q"] / root, w["k"], w["v"]])
-    q, k, val = wide[..., :dim], wide[..., dim : 2 * dim], wide[..., 2 * dim :]
-    norm = lambda t: float(np.sqrt((t * t).sum(axis=-1).max())) if t.size else 0.0
-    small = norm(q) * norm(k) + float(np.abs(w["far"]).max()) < 60
+    # queries and keys only meet in products: one matrix turns a token into what its keys' tokens are multiplied with
+    both = w["q"] @ w["k"].T / root
+    wide = x.reshape(-1, dim) @ np.hstack([both, w["v"]])
+    wide = wide.reshape(*rows.shape, 2 * dim)
+    q, val = wide[..., :dim], wide[..., dim:]
     lag = _LAG[: rows.shape[1], : rows.shape[1]]
-    a = q @ k.transpose(0, 2, 1)
+    a = q @ x.transpose(0, 2, 1)
     a += np.where(lag >= 0, w["far"][np.abs(lag)], -1e9).astype(a.dtype)
-    a = _softmax(a, small)
+    # a softmax's rows are divided by their sums where they are narrowest, in what they are multiplied with
+    a, total, _ = _exps(a)
     c = a @ val
-    h = (x + c).reshape(-1, dim)
+    c /= total
+    # a state ends in 1, so that biases are one more column of the output matrices
+    h = np.ones((rows.size, dim + 1), x.dtype)
+    np.add(x.reshape(-1, dim), c.reshape(-1, dim), out=h[:, :dim])
     # tokens in order of class, so that each class is one matrix product; those after a text's end drop out
-    cls = cls.ravel()
-    order = np.argsort(cls, kind="stable")
-    cut = np.searchsorted(cls[order], np.arange(v.classes + 2))
-    order = order[cut[0] :]
+    order = np.argsort(cls.ravel(), kind="stable")
+    cls = cls.ravel()[order]
+    cut = np.searchsorted(cls, np.arange(v.classes + 2))
+    order, cls = order[cut[0] :], cls[cut[0] :]
     cut = (cut - cut[0]).tolist()
-    hl, cls, place = h[order], cls[order].astype(np.int64), place.ravel()[order]
-    n = max(1, len(hl))
+    hl, place = np.take(h, order, axis=0, mode="clip"), place.ravel()[order]
+    each = 1 / max(1, len(hl))
     line = np.arange(len(hl))
-    size = norm(hl)
-    p = hl @ w["cls"]
-    p += w["cls_b"]
-    p = _softmax(p, size * norm(w["cls"].T) + float(np.abs(w["cls_b"]).max()) < 60)
-    p[line, cls] -= 1
-    p /= p.dtype.type(n)
-    g = {"cls": hl.T @ p, "cls_b": np.ones(len(p), p.dtype) @ p, "out": np.zeros_like(w["out"]), "out_b": np.zeros_like(w["out_b"])}
+    p, sums, _ = _exps(hl @ np.vstack([w["cls"], w["cls_b"]]))
+    p[line, cls] -= sums[:, 0]
+    scale = p.dtype.type(each) / sums
+    side = (hl * scale).T @ p
+    g["cls"][...], g["cls_b"][...] = side[:dim], side[dim]
     gh = p @ w["cls"].T
-    known = cut[v.classes]
-    inner = np.empty((known, v.width), hl.dtype)
-    live = [j for j in range(v.classes) if cut[j + 1] > cut[j]]
-    for j in live:
-        np.matmul(hl[cut[j] : cut[j + 1]], w["out"][j].T, out=inner[cut[j] : cut[j + 1]])
-    inner += w["out_b"][cls[:known]]
-    inner = _softmax(inner, size * norm(w["out"]) + float(np.abs(w["out_b"]).max()) < 60)
-    inner[line[:known], place[:known]] -= 1
-    inner /= inner.dtype.type(n)
-    for j in live:
-        at = slice(cut[j], cut[j + 1])
-        g["out"][j] = inner[at].T @ hl[at]
-        g["out_b"][j] = np.ones(cut[j + 1] - cut[j], inner.dtype) @ inner[at]
-        gh[at] += inner[at] @ w["out"][j]
-    dh = np.zeros_like(h)
+    gh *= scale
+    g["out"][...], g["out_b"][...] = 0, 0
+    turned = np.vstack([w["out"].T, w["out_b"]])
+    for j in range(v.classes):
+        its = slice(v.begin[j], v.begin[j + 1])
+        out = w["out"][its]
+        for some in _parts(cut[j], cut[j + 1], len(out)):
+            hj = hl[some]
+            p, sums, _ = _exps(hj @ turned[:, its])
+            p[line[: len(p)], place[some]] -= sums[:, 0]
+            scale = p.dtype.type(each) / sums
+            side = (hj * scale).T @ p
+            g["out"][its] += side[:dim].T
+            g["out_b"][its] += side[dim]
+            back = p @ out
+            back *= scale
+            gh[some] += back
+    dh = np.zeros((rows.size, dim), x.dtype)
     dh[order] = gh
     dh = dh.reshape(x.shape)
-    da = dh @ val.transpose(0, 2, 1)
+    scaled = dh / total
+    da = scaled @ val.transpose(0, 2, 1)
     # the sum of a row of a * da is the product of the row's own dh and context
-    da -= (dh * c).sum(axis=2, keepdims=True)
+    da -= np.einsum("bti,bti->bt", scaled, c)[..., None]
     da *= a
-    far = np.zeros(WINDOW, np.float64)
-    both = da.sum(axis=0)
-    np.add.at(far, lag[lag >= 0], both[lag >= 0])
-    d = np.concatenate([da @ k / root, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh], axis=2).reshape(-1, 3 * dim)
+    g["far"][...] = np.bincount(lag[lag >= 0], da.sum(axis=0)[lag >= 0], WINDOW)
+    d = np.empty((*rows.shape, 2 * dim), x.dtype)
+    np.matmul(da, x, out=d[..., :dim])
+    np.matmul(a.transpose(0, 2, 1), scaled, out=d[..., dim:])
+    d = d.reshape(-1, 2 * dim)
     side = x.reshape(-1, dim).T @ d
-    g["q"], g["k"], g["v"] = side[:, :dim], side[:, dim : 2 * dim], side[:, 2 * dim :]
-    dx = dh.reshape(-1, dim) + d @ np.hstack([w["q"], w["k"], w["v"]]).T
-    emb = np.zeros_like(w["emb"])
+    g["q"][...], g["k"][...], g["v"][...] = side[:, :dim] @ w["k"] / root, side[:, :dim].T @ w["q"] / root, side[:, dim:]
+    dx = d @ np.hstack([both, w["v"]]).T
+    dx += dh.reshape(-1, dim)
+    dx += (da.transpose(0, 2, 1) @ q).reshape(-1, dim)
     by = np.argsort(rows.ravel(), kind="stable")
     row = rows.ravel()[by]
     begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-    emb[row[begin]] = np.add.reduceat(dx[by], begin, axis=0)
-    g["emb"], g["far"] = emb, far
-    return {k: x.astype(np.float32) for k, x in g.items()}
+    g["emb"][...] = 0
+    g["emb"][row[begin]] = np.add.reduceat(np.take(dx, by, axis=0, mode="clip"), begin, axis=0)
+    return g

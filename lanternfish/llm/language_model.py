@@ -25,11 +25,11 @@ shard, or one input partition's documents.
 from __future__ import annotations
 
 import pickle
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,12 +50,23 @@ SHARD_MB, WINDOWS_EACH = 16, 120_000
 AT_ONCE = 2000
 END_HASH = xxh64_intdigest(b"", 29)
 REMEMBER = 1_200_000
+#: Workers keep so much freed memory: each step makes arrays of a megabyte, whose pages would come anew from the system.
+ALLOCATOR = {"MALLOC_MMAP_THRESHOLD_": str(32 << 20), "MALLOC_TRIM_THRESHOLD_": str(64 << 20)}
+
+
+def _bytes(strings: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of strings, none of them null."""
+    _, ends, data = strings.buffers()
+    ends = np.frombuffer(ends, np.int64 if pa.types.is_large_string(strings.type) else np.int32)[strings.offset :][: len(strings) + 1].tolist()
+    data = data.to_pybytes() if data else b""
+    return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 class Lexicon(dict):
     """Lower-cased word bytes -> number, with the word's hash and subword ids by number.
 
-    Number 0 is the end of a text. ids() strings subwords together without a loop over words.
+    Number 0 is the end of a text. Subwords of all words lie in one array, so pieces()
+    strings them together without a loop over words; only new words are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -67,46 +78,68 @@ class Lexicon(dict):
 
     def clear(self) -> None:
         super().clear()
-        self.found, self.words = [END_HASH], [b""]
-        self.packed: list[bytes | None] = [self.end_id.to_bytes(4, "little")]
+        self.found, self.fresh = [END_HASH], []  # all words' hashes; words not yet encoded
         self.hash = np.zeros(0, np.uint64)
+        self.pool, self.ends = np.array([self.end_id], np.uint32), np.array([0, 1], np.int32)
         self[b""] = 0
 
     def __missing__(self, word: bytes) -> int:
         self.found.append(xxh64_intdigest(word, 29))
-        self.words.append(word)
-        self.packed.append(None)
+        self.fresh.append(word)
         self[word] = n = len(self.found) - 1
         return n
 
-    def _pack(self, n: int) -> bytes:
-        """The subwords of word n after a space; a word of letters only is one piece."""
-        word = self.words[n]
-        encode = self.enc.bpe.encode_single_piece
-        if word.isalpha() or (text := word.decode("utf-8", "replace")).isalpha():
-            ids = encode(b" " + word)
-        else:
-            ids = [i for p in self.enc.find(" " + text) for i in encode(p.encode())]
-        self.packed[n] = got = array("I", ids).tobytes()
-        return got
+    def _encode(self) -> None:
+        """The subwords of new words, each after a space; a word of letters only is one piece."""
+        encode, find, ids, sizes = self.enc.bpe.encode_single_piece, self.enc.find, [], []
+        for word in self.fresh:
+            if word.isalpha() or (text := word.decode("utf-8", "replace")).isalpha():
+                got = encode(b" " + word)
+            else:
+                got = [i for p in find(" " + text) for i in encode(p.encode())]
+            ids += got
+            sizes.append(len(got))
+        self.fresh.clear()
+        self.pool = np.concatenate([self.pool, np.array(ids, np.uint32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int32)])
+
+    def numbers_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all texts' words, an end after each text, and how many each text has; each different word is looked up once."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        coded = split.flatten().dictionary_encode()
+        known = _bytes(coded.dictionary)
+        # white space at a text's borders leaves empty words, which have the end's number
+        flat = np.fromiter(map(self.__getitem__, known), np.int64, len(known))[coded.indices.to_numpy()]
+        there = flat != 0
+        who = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+        size = np.bincount(who[there], minlength=len(texts)) + 1
+        out = np.zeros(int(size.sum()), np.int64)
+        words = np.ones(len(out), bool)
+        words[np.cumsum(size) - 1] = False
+        out[words] = flat[there]
+        return out, size
 
     def numbers(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "replace").lower().split()
-        out = np.zeros(len(words) + 1, np.int64)
-        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return out
+        return self.numbers_of(pa.array([text], pa.string()))[0]
 
     def hashes(self) -> np.ndarray:
         if len(self.hash) < len(self.found):
             self.hash = np.concatenate([self.hash, np.array(self.found[len(self.hash) :], np.uint64)])
         return self.hash
 
-    def packed_of(self, numbers: np.ndarray) -> list[bytes]:
-        packed, pack = self.packed, self._pack
-        return [packed[n] or pack(n) for n in numbers.tolist()]
+    def pieces(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Subwords of these words, one after the other, and how many each word has."""
+        if self.fresh:
+            self._encode()
+        begin, end = self.ends[numbers], self.ends[numbers + 1]
+        size = end - begin
+        after = np.cumsum(size)
+        at = np.repeat(end - after, size)
+        at += np.arange(len(at))
+        return self.pool[at].astype(np.int64), size
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
-        return np.frombuffer(b"".join(self.packed_of(numbers)), np.uint32).astype(np.int64)
+        return self.pieces(numbers)[0]
 
 
 _LEXICA: dict[str, Lexicon] = {}
@@ -170,15 +203,14 @@ def _count(path: str, shards: int):
                 yield counts()
                 lex.clear()
                 total[:] = 0
-            windows, docs = [], []
-            for text in b.column("text").to_pylist():
-                n = lex.numbers(text)
-                docs.append(n)
-                windows.append(cut(lex.ids(n), kind))
-            if docs:
+            if b.num_rows:
+                flat, words = lex.numbers_of(b.column("text"))
+                ids, size = lex.pieces(flat)
+                ends = np.cumsum(size)[np.cumsum(words) - 1]
+                windows = [cut(x, kind) for x in np.split(ids, ends[:-1])]
                 if len(total) < len(lex.found):
                     total = np.concatenate([total, np.zeros(2 * len(lex.found) - len(total), np.int64)])
-                total += np.bincount(np.concatenate(docs), minlength=len(total))
+                total += np.bincount(flat, minlength=len(total))
                 whole = np.concatenate(windows)
                 for i in range(0, len(whole), AT_ONCE):
                     part = whole[i : i + AT_ONCE]
@@ -302,29 +334,26 @@ def _score(path: str, sent, shards: int):
             if len(lex) > REMEMBER:
                 lex.clear()
                 slot = slot[:0]
-            docs = [lex.numbers(t) for t in b.column("text").to_pylist()]
-            if not docs:
+            n = b.num_rows
+            if not n:
                 continue
+            flat, size = lex.numbers_of(b.column("text"))
             h = lex.hashes()
             if len(slot) < len(h):
                 fresh = h[len(slot) :]
                 at = np.minimum(np.searchsorted(known, fresh), len(known) - 1) if len(known) else np.zeros(len(fresh), np.int64)
                 slot = np.concatenate([slot, np.where(known[at] == fresh, at, -1) if len(known) else np.full(len(fresh), -1)])
-            flat, size = np.concatenate(docs), np.array([len(d) for d in docs])
-            who = np.repeat(np.arange(len(docs)), size)
+            who = np.repeat(np.arange(n), size)
             at = slot[flat]
             there = at >= 0
-            base = np.bincount(who[there], log_count[at[there]], len(docs))
-            n_known = np.bincount(who[there], minlength=len(docs))
-            packed = lex.packed_of(flat)
-            pieces = np.array(list(map(len, packed))) // 4
-            ids = np.frombuffer(b"".join(packed), np.uint32).astype(np.int64)
-            lp = scorer.log_probs(ids, np.bincount(who, pieces, len(docs)).astype(np.int64))
+            base = np.bincount(who[there], log_count[at[there]], n)
+            n_known = np.bincount(who[there], minlength=n)
+            ids, pieces = lex.pieces(flat)
+            lp = scorer.log_probs(ids, np.bincount(who, pieces, n).astype(np.int64))
             word = np.add.reduceat(lp, np.cumsum(pieces) - pieces)
             # place -1, of words that aren't frequent, has the share 0
             word = np.logaddexp(np.log(back) + word, np.log(np.maximum((1 - ATTENTION) * share[at], 1e-300)))
-            score = np.bincount(who, word, len(docs)) / np.log(10)
-            n = len(docs)
+            score = np.bincount(who, word, n) / np.log(10)
             cols = [pa.array([-1] * n, types[0]), *(pa.nulls(n, t) for t in types[1:6]), pa.array([part] * n), pa.array(np.arange(nth, nth + n)), b.column("doc_id"), b.column("held_out"), pa.array(size), pa.array(n_known), pa.array(base), pa.array(score)]
             yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, types, strict=True)], names=names)
             rare, doc = h[flat[~there]], who[~there] + nth
@@ -396,6 +425,8 @@ def score_texts(docs: DataFrame, *, tokenizer: str | None = None, dim: int = DIM
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
+    for name, value in ALLOCATOR.items():
+        spark.sparkContext.environment.setdefault(name, value)
     path = tokenizer or default_tokenizer()
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     rows = docs.select("doc_id", "text", held.alias("held_out"))

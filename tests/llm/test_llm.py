@@ -331,6 +331,33 @@ def test_attention_windows_and_gradient():
         assert abs((loss(step) - loss(w)) / 1e-4 / part[:, 1:].size - g[name][i]) < 2e-3
 
 
+def test_attention_classes_follow_frequency():
+    """A token needs fewer outputs than with classes of one width where few entries are frequent, and no more where none is."""
+
+    def outputs(counts):
+        v = attention.Vocabulary(counts)
+        assert v.begin[0] == 0 and v.begin[-1] == v.seen and (np.diff(v.begin) > 0).all()
+        width = np.diff(v.begin)
+        share = np.sort(counts[counts > 0])[::-1] / counts.sum()
+        return (v.classes + 1 + (np.add.reduceat(share, v.begin[:-1]) * width).sum()) / (2 * np.sqrt(v.seen))
+
+    assert outputs((10**9 / np.arange(1, 4001) ** 1.6).astype(np.int64)) < 0.85
+    assert outputs((10**7 / np.arange(1, 4001)).astype(np.int64)) < 1.02
+    assert outputs(np.full(4000, 9)) < 1.02
+
+
+def test_language_model_words():
+    """Words of many texts at once are those of each text alone, white space of any kind between them."""
+    lex = language_model.lexicon(packing.default_tokenizer())
+    odd = [None, "", " \t\n", "one", " A\x0bB\x0c c\x1cd \r Éa b x İ ", "\u0085 a", "z" * 70]
+    want = [[lex[w] for w in (t or "").encode().lower().split()] + [0] for t in odd]
+    flat, size = lex.numbers_of(pa.array(["cut off", *odd])[1:])
+    assert flat.tolist() == sum(want, []) and size.tolist() == [len(w) for w in want]
+    ids, pieces = lex.pieces(flat)
+    alone = [lex.enc.bpe.encode_single_piece(b" z" + b"z" * 69)]
+    assert pieces.sum() == len(ids) and ids[-1 - len(alone[0]) :].tolist() == [*alone[0], lex.end_id]
+
+
 # --- 5 packing
 
 
